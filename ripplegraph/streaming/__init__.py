@@ -1,0 +1 @@
+"""Empty on purpose: every query of this engine is one pass over tables at rest."""
