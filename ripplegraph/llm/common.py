@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,3 +78,70 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     stars = now.groupBy("u").agg(F.min("v").alias("component"))
     roots = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return stars.select(F.col("u").alias("node"), "component").union(roots.join(stars, roots["node"] == stars["u"], "left_anti"))
+
+
+def whole_groups(batches: Iterable[pa.RecordBatch], *keys: str, most_rows: int = 20_000) -> Iterator[pa.Table]:
+    """Rows sorted by keys, as tables of about most_rows that hold groups of equal keys whole."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n < most_rows:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        cut = n - 1
+        last = [table.column(k)[n - 1] for k in keys]
+        while cut and all(table.column(k)[cut - 1] == v for k, v in zip(keys, last, strict=True)):
+            cut -= 1
+        if cut:
+            yield table.slice(0, cut)
+        held, n = table.slice(cut).to_batches(), n - cut
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def group_numbers(table: pa.Table, *keys: str) -> np.ndarray:
+    """0, 1, ... for runs of rows with equal keys (whole numbers)."""
+    change = np.zeros(table.num_rows, bool)
+    for k in keys:
+        v = table.column(k).to_numpy()
+        change[1:] |= v[1:] != v[:-1]
+    return np.cumsum(change)
+
+
+class Forest:
+    """Disjoint sets of rows; label holds each row's smallest row after settle()."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        apart = self.label[a] != self.label[b]
+        if not apart.any():
+            return
+        up = self.label
+        for x, y in zip(a[apart].tolist(), b[apart].tolist(), strict=True):
+            while up[x] != x:
+                x = up[x]
+            while up[y] != y:
+                y = up[y]
+            if x != y:
+                up[max(x, y)] = min(x, y)
+        while (up[up] != up).any():
+            up = up[up]
+        self.label = up
+
+
+def block_pairs(rows: DataFrame, chunk_rows: int, salt: str) -> DataFrame:
+    """rows (with their group's row count n), dealt into blocks of bounded size that hold every pair of a group once.
+
+    A group of more than chunk_rows rows falls into n / chunk_rows chunks by a hash of `salt`; block (a, b) holds the
+    chunks a and b, whose pairs it compares: within the chunk where a = b, else across. Adds chunk, a, b.
+    """
+    chunks = F.ceil(F.col("n") / chunk_rows).cast("int")
+    chunk = F.when(F.col("n") > chunk_rows, F.pmod(F.xxhash64(F.col(salt), F.lit(7)), chunks).cast("int")).otherwise(0)
+    dealt = rows.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    return dealt.select(*rows.columns, "chunk", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b")).drop("other")

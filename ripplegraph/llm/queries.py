@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, language, licenses, packing, token_files
+from . import bpe, html_text, language, licenses, ngram_join, packing, token_files
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,8 +43,12 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_licenses, op4_token_files, op5_packing, op6_language, op7_bpe, op9_html_text)}
+    return {f.__name__: f for f in (op3_licenses, op4_token_files, op5_packing, op6_language, op7_bpe, op9_html_text, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
