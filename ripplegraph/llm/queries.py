@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, language, licenses, ngram_join, packing, token_files
+from . import bpe, html_text, language, licenses, ngram_join, packing, surrogates, token_files
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replaced(docs)
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -48,7 +53,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_licenses, op4_token_files, op5_packing, op6_language, op7_bpe, op9_html_text, op10_ngram_join)}
+    return {f.__name__: f for f in (op3_licenses, op4_token_files, op5_packing, op6_language, op7_bpe, op8_surrogates, op9_html_text, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
