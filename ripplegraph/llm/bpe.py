@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +63,7 @@ class Bpe:
         self.added = {t["content"]: t["id"] for t in added}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
         self.keep_space = pattern == BYTE_LEVEL
+        self.letters_together = pattern.endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") and [n["type"] for n in self.normal] == ["NFC", "Replace", "Lowercase"]
         decoder = spec["decoder"]
         if decoder and decoder["type"] != "ByteLevel":
             raise ValueError(f"{path}: a decoder that isn't read here")
@@ -141,6 +143,12 @@ class Bpe:
 
     def words(self, text: str) -> list[bytes | int]:
         """Pre-tokens of a text, and the ids of added tokens between them."""
+        if self.letters_together:  # letters alone, or one mark after them: what the pattern does, without it
+            plain = (text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")).lower()
+            if plain.isalpha():
+                return [plain.encode()]
+            if plain[-1:] in ",.;:!?" and plain[:-1].isalpha():
+                return [plain[:-1].encode(), plain[-1].encode()]
         found: list[bytes | int] = []
         for part in self.cut.split(text) if self.cut and "<" in text else [text]:
             if part in self.added:
@@ -173,21 +181,31 @@ class Bpe:
         if self.keep_space or not self.joined:
             found = self.encode(texts.to_pylist())
             return [len(x) for x in found], [sha(" ".join(map(str, x))) for x in found], [sha(self.decode(x)) for x in found]
-        n, a, b = [], [], []
-        own = [t.replace("\n", " ").split(" ") for t in texts.to_pylist()]
-        new = list({p for parts in own for p in parts}.difference(self.known))
+        parts = pc.split_pattern(pc.replace_substring(pc.cast(texts, pa.large_string()), "\n", " "), " ")
+        found = parts.flatten().dictionary_encode()
+        distinct, index = found.dictionary.to_pylist(), found.indices.to_numpy()
+        new = [p for p in distinct if p not in self.known]
         if len(self.known) + len(new) > self.most and self.known:
             self.known.clear()
-            new = list({p for parts in own for p in parts})
+            new = distinct
         for i in range(0, len(new), 50_000):
             some = new[i : i + 50_000]
             self.known.update((p, (len(x), " ".join(map(str, x)), self.decode(x))) for p, x in zip(some, self.encode(some), strict=True))
-        for parts in own:
-            found = [x for x in map(self.known.__getitem__, parts) if x[0]]
-            n.append(sum(x[0] for x in found))
-            a.append(sha(" ".join([x[1] for x in found])))
-            b.append(sha(" ".join([x[2] for x in found])))
-        return n, a, b
+        rows = [self.known[p] for p in distinct]
+        size = np.fromiter((x[0] for x in rows), np.int64, len(rows))
+        index = np.asarray(index)
+        ends = np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+        total = np.concatenate([[0], np.cumsum(size[index])])[np.concatenate([[0], ends])]
+        some = size[index] > 0
+        index, ends = index[some], np.concatenate([[0], np.cumsum(some)])[ends].tolist()
+        ids, names = [x[1] for x in rows], [x[2] for x in rows]
+        at, a, b = 0, [], []
+        for end in ends:
+            own = index[at:end].tolist()
+            a.append(sha(" ".join([ids[i] for i in own])))
+            b.append(sha(" ".join([names[i] for i in own])))
+            at = end
+        return np.diff(total).tolist(), a, b
 
 
 def sha(text: str) -> str:
@@ -209,7 +227,7 @@ def digests(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(tokenizer)
-        for batch in bounded(batches, "text"):
+        for batch in bounded(batches, "text", 16 << 20):
             n, a, b = bpe.digests(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
