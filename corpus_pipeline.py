@@ -1,15 +1,46 @@
-"""Corpus pipeline: its stages follow as their operators are written."""
+"""Corpus pipeline: documents in a language, one of each group of near copies, personal data replaced, packed into windows.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Between
+stages the rows are written to the shared folder and read again, so a lost executor costs one stage at most.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from ripplegraph.llm import language, ngram_join, packing, surrogates
+from ripplegraph.llm.common import written
+from ripplegraph.llm.queries import tokenizer
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Goes: documents without text or letters, in no language that the labelled rows teach."""
+    return language.accepted(docs, language.learn(docs))
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stays: of each group of near copies (five words, similarity 0.8), the smallest doc_id."""
+    return ngram_join.one_of_each(docs)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with surrogates in place of personal data."""
+    return surrogates.replaced(docs).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each piece of a document in a sequence of 1024 tokens."""
+    return packing.pack(docs, tokenizer("byte_bpe_50k.json"), end_id=0)
+
+
+STAGES = [("language_id", language_id), ("ngram_jaccard_join", ngram_jaccard_join), ("pii", pii), ("packing", pack)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = written(docs)
     return docs
