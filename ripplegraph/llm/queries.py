@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, language, licenses, ngram_join, packing, surrogates, token_files
+from . import bpe, embedding_dedup, html_text, language, licenses, ngram_join, packing, prefix_forest, surrogates, token_files
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,14 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op2_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_forest.search(table(spark, sf_dir, "embeddings"), "id % 20 = 0")
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -53,7 +61,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_licenses, op4_token_files, op5_packing, op6_language, op7_bpe, op8_surrogates, op9_html_text, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_prefix_forest, op3_licenses, op4_token_files, op5_packing, op6_language, op7_bpe, op8_surrogates, op9_html_text, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
