@@ -15,7 +15,7 @@ from ..sources.star_schema import graph
 
 Query = Callable[[SparkSession, str], DataFrame]
 ROOT = "A3"  # the argument of the questions that take one application
-SEARCH = "shared data platform for the market and the river"
+SEARCH = "thesened heention inenan heonha the thesened"
 
 EDGES = """
     SELECT DISTINCT 'A' || l_suppkey AS src, 'SUPPORTS' AS type, 'C' || l_partkey AS dst, l_suppkey AS ord FROM lineitem WHERE l_quantity = 50
@@ -102,7 +102,7 @@ def queries() -> dict[str, Query]:
         "isolated_elements": of_graph(ops.isolated),
         "violations": lambda s, d: (lambda g: violations(g.elements, g.edges).select("rule", "src", "dst"))(graph(s, d)),
         "owns_consumes_conflicts": of_graph(lambda g: conflicts(g.edges)),
-        "find_elements": of_graph(lambda g: ops.find(g, " #00001 ").select("id", "kind", "name")),
+        "find_elements": of_graph(lambda g: ops.find(g, " RED ").select("id", "kind", "name")),
         "apps_for_capability": single("SUPPORTS", True),
         "owned_data": single("OWNS", False),
         "consumed_data": single("CONSUMES", False),
@@ -138,7 +138,7 @@ def oracle_sql() -> dict[str, str]:
         "isolated_elements": sql("").rstrip() + f", {degrees} SELECT id, kind FROM d WHERE degree = 0",
         "violations": sql(f"SELECT 'owns and consumes' AS rule, src, dst FROM ({owned}) UNION ALL SELECT 'depends on itself', src, dst FROM edges WHERE type = 'DEPENDS_ON' AND src = dst"),
         "owns_consumes_conflicts": sql(owned),
-        "find_elements": sql("SELECT id, kind, name FROM elements WHERE contains(lower(name), '#00001') OR lower(id) = '#00001'"),
+        "find_elements": sql("SELECT id, kind, name FROM elements WHERE contains(lower(name), 'red') OR lower(id) = 'red'"),
         "apps_for_capability": hop("SUPPORTS", "dst", "src"),
         "owned_data": hop("OWNS", "src", "dst"),
         "consumed_data": hop("CONSUMES", "src", "dst"),

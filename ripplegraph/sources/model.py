@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +21,8 @@ EDGE_TYPES = {
     "DEPENDS_ON": ("application", "application"),
     "RUNS_ON": ("application", "technology"),
 }
-ELEMENT = "id string, kind string, name string, attributes map<string,string>, kind_ord int, ord long"
-EDGE = "src string, type string, dst string, ord long"
+ELEMENT = pa.schema([("id", pa.string()), ("kind", pa.string()), ("name", pa.string()), ("attributes", pa.map_(pa.string(), pa.string())), ("kind_ord", pa.int32()), ("ord", pa.int64())])
+EDGE = pa.schema([("src", pa.string()), ("type", pa.string()), ("dst", pa.string()), ("ord", pa.int64())])
 
 
 class ModelError(ValueError):
@@ -60,8 +61,14 @@ class Graph:
         return found.asDict()
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> DataFrame:
+    """A document's rows as a relation of the plan itself: no task reads them through Python."""
+    return spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema.types, strict=True)], schema=schema))
+
+
 def edge_types(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(t, *kinds, i) for i, (t, kinds) in enumerate(EDGE_TYPES.items())], "type string, src_kind string, dst_kind string, type_ord int")
+    rows = [(t, *kinds, i) for i, (t, kinds) in enumerate(EDGE_TYPES.items())]
+    return local_table(spark, rows, pa.schema([("type", pa.string()), ("src_kind", pa.string()), ("dst_kind", pa.string()), ("type_ord", pa.int32())]))
 
 
 def violations(elements: DataFrame, edges: DataFrame) -> DataFrame:
@@ -110,7 +117,7 @@ def from_document(spark: SparkSession, document: dict, strict: bool = True) -> G
             if not isinstance(row, dict) or not {"id", "name"} <= row.keys():
                 errors.append(f"{name}[{i}] needs an id and a name")
                 continue
-            rest = {k: v if isinstance(v, str) else json.dumps(v) for k, v in row.items() if k not in ("id", "name")}
+            rest = [(k, v if isinstance(v, str) else json.dumps(v)) for k, v in row.items() if k not in ("id", "name")]
             elements.append((row["id"], kind, row["name"], rest, kind_ord, i))
     rows = document.get("relationships", [])
     if not isinstance(rows, list):
@@ -121,7 +128,7 @@ def from_document(spark: SparkSession, document: dict, strict: bool = True) -> G
             errors.append(f"relationships[{i}] needs from, type and to")
             continue
         edges.append((row["from"], row["type"], row["to"], i))
-    graph = Graph(spark.createDataFrame(elements, ELEMENT), spark.createDataFrame(edges, EDGE))
+    graph = Graph(local_table(spark, elements, ELEMENT), local_table(spark, edges, EDGE))
     found = violations(graph.elements, graph.edges).orderBy(F.expr("rule <> 'repeated id'"), F.col("ord").asc_nulls_last(), "src", "dst").collect()
     kinds = {}
     for element in elements:
