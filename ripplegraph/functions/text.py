@@ -48,7 +48,7 @@ def chunks(docs: DataFrame) -> DataFrame:
     nested = sections.withColumn("hs", F.collect_list("h").over(before)).withColumn("stack", F.expr(stack))
     return nested.select(
         F.concat_ws("#", "source", "line_start").alias("chunk_id"), "source",
-        F.expr("coalesce(filter(hs, x -> x.level = 1)[0].text, '')").alias("document_title"),
+        F.expr("coalesce(get(filter(hs, x -> x.level = 1), 0).text, '')").alias("document_title"),
         F.coalesce("h.text", F.lit("")).alias("heading"),
         F.expr("if(h is null, cast(array() as array<string>), transform(stack, x -> x.text))").alias("heading_path"),
         "body", "line_start", "line_end",
