@@ -3,11 +3,12 @@
 1. Equal vectors are copies: one, the smallest id, stands for all.
 2. Each half of the unit vectors has a codebook of its own, fitted by k-means on a bounded sample; pairs of codewords form a
    grid of cells, and every representative lies in one cell.
-3. A row visits cells in the order of their distance bounds, summed over the halves (multi-sequence), until the share of
-   linked neighbours still unvisited falls below 1 - recall. The bound of a codeword is the distance to its Voronoi
-   border. A neighbour at squared distance r2 in d dimensions crosses a border at distance t with a chance of at most
-   exp(-t * t * d / (2 * r2)) where differences point anywhere alike, so cells up to t * t = r2 / d * 2 * ln(1 / (1 - recall))
-   are visited, or up to r2 itself, where nothing can be missed, if that is less (recall=1 asks for that).
+3. A row visits every cell whose distance bound, summed over the halves, is at most r2, the squared distance of vectors at
+   the threshold. The bound of a codeword is the distance to its Voronoi border, so no link is missed, whatever the
+   vectors' distribution. Vectors that point anywhere alike are near most borders: there nearly all pairs are compared.
+   recall < 1 is a cut for such vectors only: a neighbour at squared distance r2 in d dimensions crosses a border at
+   distance t with a chance of at most exp(-t * t * d / (2 * r2)) where differences point anywhere alike, so cells up to
+   t * t = r2 / d * 2 * ln(1 / (1 - recall)) are visited. Where components differ in scale it misses more than 1 - recall.
 4. Rows in a cell are compared with each other and with its visitors, in double precision. Of two cells the lower-numbered
    one's rows visit, so a pair is compared once. Cells of any size are dealt into blocks of bounded size, and a block
    returns each row's number of links and a spanning forest, no pairs.
@@ -130,7 +131,7 @@ def compared(dealt: DataFrame, dim: int, threshold: float) -> DataFrame:
     return whole.mapInArrow(run, "key binary, links long, root binary")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.9999, rows_per_cell: int = 1024, sample_rows: int = 8192, chunk_rows: int = 1024, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float = 1.0, rows_per_cell: int = 1024, sample_rows: int = 8192, chunk_rows: int = 1024, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """id, n_links (other rows with cosine >= threshold, copies included), component_id (smallest id that links reach), kept.
 
     sample_rows bounds the rows that the codebooks are fitted on (twice as many at most).

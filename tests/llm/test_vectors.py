@@ -44,6 +44,23 @@ def test_near_duplicates(spark, chunk_rows):
         assert found[i] == [(0, i, True)]
 
 
+def test_no_link_is_missed_where_components_differ_in_scale(stored):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    scale = np.tile(1 / np.arange(1, 33), 2)
+    a, b = rng.standard_normal((2, 2000, 64)) * scale
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b -= (a * b).sum(1)[:, None] * a
+    b /= np.linalg.norm(b, axis=1)[:, None]
+    c = rng.uniform(0.95, 0.96, (2000, 1))
+    x = np.concatenate([a, c * a + np.sqrt(1 - c * c) * b])
+    data = stored({"vec_id": list(range(4000)), "embedding": x.tolist()}, [("vec_id", pa.int64()), ("embedding", pa.list_(pa.float64()))])
+    found = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(data, rows_per_cell=64).collect()}
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    assert [found[i] for i in range(4000)] == ((x @ x.T >= 0.95).sum(1) - 1).tolist()
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert embedding_dedup.near_duplicates(none).count() == 0
