@@ -2,6 +2,8 @@ r"""Personal data and secrets replaced by surrogates, with Spark SQL functions o
 
 Detected: e-mail addresses, telephone numbers, payment card numbers (with a valid check digit), IPv4 addresses, US social
 security numbers, cloud access keys, values assigned to names such as password or token, and persons after an honorific.
+A value is of any length and ends before white space or one of "'<>,;=; a quoted one at its quote, on one line. A person is all
+capitalised words after the honorific, with initials, titles, particles (van, de), inner capitals, hyphens and apostrophes.
 
 Surrogates depend on a key and the entity's normalised value alone, so equal entities get equal surrogates in all texts:
 - numbers go through a keyed permutation of the digit strings of their length (a Feistel network on decimal halves), which
@@ -25,7 +27,10 @@ from pyspark.sql import functions as F
 from .common import written
 
 # Detection patterns in the order in which they are tried at a place.
-SECRET = r"""(?<=\b(?i:password|passwd|pwd|token|secret|api_?key|access_?key|auth)["']? {0,2}[=:] {0,2}["']?)[^\s"'<>,;=]{5,200}[A-Za-z0-9]"""
+LEAD = r"""(?i:password|passwd|pwd|token|secret|api_?key|access_?key|auth)["']?[ \t]*+[=:][ \t]*+"""
+SECRET = rf"""\b{LEAD}(?:"(?=[^"\r\n]*")[^"\r\n]*[\p{{L}}0-9]|'(?=[^'\r\n]*')[^'\r\n]*[\p{{L}}0-9]|["']?(?!{LEAD})[^\s"'<>,;=]*[\p{{L}}0-9])"""
+UNSPELT = r"(?:(?:Dr|Prof|Ing|Dipl|St|Jr|Sr)\.|van|von|vom|der|den|de|della|del|des|di|da|do|dos|das|du|la|las|le|les|los|el|al|bin|ibn|ter|ten|zu|zum|zur)"
+NAME = r"(?:(?:Dr|Prof|Ing|Dipl|St|Jr|Sr)\.|\p{Lu}\.(?:-?\p{Lu}\.)*+|\p{Lu}[\p{L}\p{M}]*+(?:(?:-|['\u2019](?!(?:s|ll|d|re|ve|m|t)\b))\p{L}[\p{L}\p{M}]*+)*+)"
 PATTERNS = {
     "secret": SECRET,
     "key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
@@ -34,7 +39,7 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\w+])(?:\+?\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{4}(?!\d)|(?<![\w+.-])(?:\+?1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)",
     "card": r"(?<![\d.])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
-    "person": r"\b(?:Mr|Mrs|Ms|Miss|Mister|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|Sra|Sr|Dona|Don|Госпожа|Господин|Κυρία|Κύριος)\.? \p{Lu}\p{Ll}{1,30}(?: \p{Lu}\p{Ll}{1,30})?",
+    "person": r"\b(?:Mr|Mrs|Ms|Miss|Mister|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|Sra|Sr|Dona|Don|Госпожа|Господин|Κυρία|Κύριος)\.?(?: (?:" + UNSPELT + " )*+" + NAME + ")+",
 }
 FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Dona|Госпожа|Κυρία)\b"
 
@@ -45,7 +50,7 @@ def quoted(pattern: str) -> str:
 
 def guarded() -> str:
     """All patterns in their order, behind tests of a character or two that their matches pass: most places end there."""
-    first = {"secret": r"""(?<=[=: "'])(?<=[=:] {0,2}["']?)""", "key": "(?=A[KS]IA)", "email": "(?=[A-Za-z0-9._%+-])", "person": "(?=[MHFSDГΚ])"}
+    first = {"secret": r"(?=[pPtTsSaA])", "key": "(?=A[KS]IA)", "email": "(?=[A-Za-z0-9._%+-])", "person": "(?=[MHFSDГΚ])"}
     alone = {k: f"{first.get(k, '')}(?:{p})" for k, p in PATTERNS.items()}
     numbers = "|".join(alone.pop(k) for k in ("ip", "ssn", "phone", "card"))
     return "|".join([*(alone[k] for k in ("secret", "key", "email")), f"(?=[0-9+(])(?:{numbers})", alone["person"]])
@@ -113,8 +118,9 @@ def surrogate_of(kind: str, m: str, value: str, salt: str) -> str:
     email = f"concat({spelt(f'substring_index({value}, chr(64), 1)', f'{salt}, {value}', 'false')}, '@', {spelt(domain, f'{salt}, {domain}', 'false')}, '.example')"
     given = f"if({m} rlike {quoted(FEMALE)}, case when {value} rlike '[а-яА-Я]' then 'а' when {value} rlike '[α-ωΑ-Ω]' then 'α' else 'a' end, case when {value} rlike '[а-яА-Я]' then 'н' when {value} rlike '[α-ωΑ-Ω]' then 'ς' else 'o' end)"
     parts = f"split({value}, ' ')"
-    name = f"array_join(transform({parts}, (w, at) -> if(at + 1 < size({parts}), concat(substr({spelt('w', salt, 'false')}, 1, length(w) - 1), {given}), {spelt('w', salt, 'false')})), ' ')"
-    secret = spelt(value, f"{salt}, {value}", f"{value} rlike '^[0-9a-f]{{8,}}$'")
+    spelling = f"if(length({value}) < 3, concat({value}, 'xxxx'), w)"  # so short values have room to stay distinct
+    name = f"array_join(transform({parts}, (w, at) -> if(w rlike {quoted('^' + UNSPELT + '$')}, w, if(at + 1 < size({parts}) and length(w) > 1 and not endswith(w, '.'), concat(substr({spelt('w', salt, 'false')}, 1, length(w) - 1), {given}), {spelt(spelling, salt, 'false')}))), ' ')"
+    secret = spelt(f"if(length({value}) < 6, concat({value}, repeat('x', 6 - length({value}))), {value})", f"{salt}, {value}", f"{value} rlike '^[0-9a-f]{{8,}}$'")
     return f"""case {kind} when 'email' then {email} when 'ip' then {ip} when 'card' then {card} when 'phone' then {phone} when 'ssn' then {over(permuted(value, salt), m)}
         when 'key' then concat(substr({m}, 1, 4), {spelt(f'substr({value}, 5)', f'{salt}, {value}', 'false')}) when 'person' then concat(regexp_extract({m}, '^\\\\S+ ', 0), {name}) else {secret} end"""
 
@@ -124,9 +130,11 @@ def literal(text: str) -> str:
 
 
 def hits(text: str) -> str:
-    """array(struct(m, kind, value)) of the mentions in text, in order; kind is null for what stays."""
-    kinds = f"transform(regexp_extract_all({text}, {ANY}, 0), m -> named_struct('m', m, 'kind', {kind_of('m')}))"
-    return f"transform({kinds}, h -> named_struct('m', h.m, 'kind', h.kind, 'value', {value_of('h.kind', 'h.m')}))"
+    """array(struct(lead, m, kind, value)) of the mentions in text, in order; kind is null for what stays, lead goes before m."""
+    leads = f"transform(regexp_extract_all({text}, {ANY}, 0), w -> named_struct('w', w, 'lead', regexp_extract(w, {quoted('^' + LEAD + '["' + chr(39) + ']?')}, 0)))"
+    mentions = f"transform({leads}, l -> named_struct('lead', l.lead, 'm', substr(l.w, length(l.lead) + 1)))"
+    kinds = f"transform({mentions}, l -> named_struct('lead', l.lead, 'm', l.m, 'kind', coalesce({kind_of('l.m')}, if(l.lead <> '', 'secret', null))))"
+    return f"transform({kinds}, h -> named_struct('lead', h.lead, 'm', h.m, 'kind', h.kind, 'value', {value_of('h.kind', 'h.m')}))"
 
 
 def salted(key: str, attempt: str) -> str:
@@ -163,8 +171,8 @@ def replaced(docs: DataFrame, key: str = "ripplegraph", text_column: str = "text
         own = of.join(again, ["kind", "value"]).groupBy("__hash", "__size").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "value"), "attempt"))).alias("__again"))
         new = docs.withColumn("__hash", F.xxhash64(text_column)).withColumn("__size", F.length(text_column)).join(own, ["__hash", "__size"], "left")
         attempt = "coalesce(try_element_at(__again, concat_ws('|', h.kind, h.value)), 0)"
-    new = new.withColumn("__hits", F.expr(f"transform({hits(text)}, h -> named_struct('kind', h.kind, 'new', if(h.kind is null, h.m, {surrogate_of('h.kind', 'h.m', 'h.value', salted(key, attempt))})))"))
-    rebuilt = f"if(size(__hits) > 0, array_join(zip_with(split({text}, {ANY}, -1), __hits, (gap, h) -> concat(gap, coalesce(h.new, ''))), ''), {text})"
+    new = new.withColumn("__hits", F.expr(f"transform({hits(text)}, h -> named_struct('lead', h.lead, 'kind', h.kind, 'new', if(h.kind is null, h.m, {surrogate_of('h.kind', 'h.m', 'h.value', salted(key, attempt))})))"))
+    rebuilt = f"if(size(__hits) > 0, array_join(zip_with(split({text}, {ANY}, -1), __hits, (gap, h) -> concat(gap, coalesce(h.lead, ''), coalesce(h.new, ''))), ''), {text})"
     new = new.withColumn("__text", F.expr(rebuilt)).withColumn("__kinds", F.expr("filter(transform(__hits, h -> h.kind), k -> k is not null)"))
     columns = [F.col("__text").alias(c) if c == text_column else F.coalesce(F.length("__text"), "n_chars").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return new.select(*columns, F.coalesce(F.expr("size(__kinds)"), F.lit(0)).cast("long").alias("n_entities"), F.expr("coalesce(array_join(array_sort(array_distinct(__kinds)), ','), '')").alias("entity_kinds"))

@@ -102,6 +102,21 @@ def test_surrogates_keep_form_and_identity(documents):
     assert surrogates.replaced(documents([])).collect() == []
 
 
+def test_surrogates_take_whole_values_and_names(documents):
+    long = "".join(random.Random(1).choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJK23456789", k=603))
+    texts = [f"token: {long}.", "password = abc1, next", "secret    =     zebra77", 'pwd: "correct horse battery" kept', "password: 1234567890123", "token: token: Zq9", "auth: 7"]
+    names = ["Anna Maria Weber", "Hans Müller-Lüdenscheid", "McDonald", "O'Brien", "J. Smith", "Dr. Weber", "Ludwig van Beethoven", "J."]
+    texts += [f"Then Herr {n} met" for n in names] + ["Mr Smith's hat", "no secret here"]
+    new = [r.text for r in surrogates.replaced(documents(texts)).orderBy("doc_id").collect()]
+    assert len(new[0]) == len(texts[0]) and new[0].endswith(".") and not any(long[i : i + 8] in new[0] for i in range(596))
+    for text, gone in zip(new[1:7], ("abc1", "zebra77", "correct|horse|battery", "1234567890123", "Zq9", "auth: 7$"), strict=True):
+        assert not re.search(gone, text), text
+    assert new[1].startswith("password = ") and new[1].endswith(", next") and new[2].startswith("secret    =     ") and new[3].endswith('" kept') and new[5].startswith("token: token: ")
+    for name, text in zip(names, new[7:15], strict=True):
+        assert text.startswith("Then Herr ") and text.endswith(" met") and not any(w in text for w in re.findall(r"\w{3,}|J\.", name) if w != "van"), text
+    assert re.search(r"Mr [A-Z][a-z]{4}'s hat", new[15]) and "Smith" not in new[15] and new[16] == "no secret here"
+
+
 def test_surrogates_stay_distinct(documents):
     """Short names draw equal surrogates at first; all get different ones in the end, the same everywhere."""
     names = [f"Mr {a}{b}" for a in "ABCDEFGH" for b in "abcdefghij"]
