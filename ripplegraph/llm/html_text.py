@@ -6,7 +6,8 @@ page headers and footers, asides, and elements whose class, id or role names a m
 Every node then gets its characters-per-tag density, adjusted for linked text, and its density sum, the sum over its
 children. The node with the largest density sum is the content; the smallest density on its path up to body is the
 threshold, and other subtrees of body of at least that density count as content too, each by its own node of largest
-density sum. Where an article or main element holds the content node, the outermost such element is the content.
+density sum. Articles only complete what the densities select: the article around the content node, or one selected beside
+it, comes with its headings and short blocks, without blocks that are mostly links; main elements have no part in it.
 
 Within content all blocks are kept: text between starts and ends of block elements, references decoded, white space one
 space, trimmed, empty ones dropped. br is white space within its block. Null or empty html gives an empty text, as does a
@@ -189,17 +190,21 @@ def contents(root: Node) -> list[Node]:
     while x:
         path.append(x)
         x = x.parent
-    if held := [x for x in path if x.tag in ("article", "main")]:
-        return [held[-1]]
     body = next((x for x in order if x.tag == "body"), root)
+    article = next((x for x in reversed(path) if x.tag == "article"), None)
+    for x in path[1 : path.index(article) + 1] if article else ():
+        for y in x.items:
+            if isinstance(y, Node) and y not in path and y.tag in BLOCK and y.links * 2 >= y.chars > 0:
+                y.off = True
+    chosen = article or best
     threshold = min((x.density for x in path if x is not root), default=0.0)
     found, stack = [], [body]
     while stack:
         x = stack.pop()
-        if x in path and x is not best:
+        if x in path and x is not chosen:
             stack += [y for y in reversed(x.items) if isinstance(y, Node) and not y.off]
-        elif x is best or x.density >= threshold > 0 and x.chars > x.links * 2:
-            found.append(x if x is best or x.tag in ("p", "pre", "h1", "h2", "h3") else densest(x))
+        elif x is chosen or x.density >= threshold > 0 and x.chars > x.links * 2:
+            found.append(x if x is chosen or x.tag in ("article", "p", "pre", "h1", "h2", "h3") else densest(x))
     return found
 
 

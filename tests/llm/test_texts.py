@@ -99,6 +99,20 @@ def test_html_main_text(stored):
     assert all(r.n_chars == len(r.text) for r in html_text.extract(docs).collect())
 
 
+def paragraph(word):
+    return f"<p>{' '.join([word] * 60)}.</p>"
+
+
+def test_html_density_selects_with_any_number_of_articles():
+    links = "<div>" + "".join(f"<a href=x>elsewhere {i}</a> " for i in range(20)) + "</div>"
+    several = html_text.main_text(f"<body><div><article><h2>One</h2>{paragraph('alpha')}</article></div><div><article><h2>Two</h2>{paragraph('beta')}</article></div>{links}</body>")
+    assert all(w in several for w in ("One", "alpha", "Two", "beta")) and "elsewhere" not in several
+    none = html_text.main_text(f"<body><div>{paragraph('alpha')}{paragraph('beta')}</div>{links}</body>")
+    assert "alpha" in none and "beta" in none and "elsewhere" not in none
+    inside = html_text.main_text(f"<body><main><article><h1>Head</h1>{paragraph('alpha')}</article>{links}</main></body>")
+    assert "Head" in inside and "alpha" in inside and "elsewhere" not in inside
+
+
 @pytest.mark.skipif(not os.path.exists(SF), reason="needs the driver's tables")
 def test_html_of_all_pages(spark):
     rows = html_text.extract(spark.read.parquet(f"{SF}/pages.parquet")).collect()
