@@ -3,6 +3,8 @@
 A page is read into a tree of elements (implied ends of p, li, table parts and the like are supplied; what a page leaves
 open ends with its parent). Elements that can't be main text are set aside first: scripts, styles, forms, navigation,
 page headers and footers, asides, and elements whose class, id or role names a menu, sidebar, notice, advert or comments.
+A class or id sets an element aside only if it holds half of the page's unlinked text at most, or no block elements; where
+the name is but a part of a class token (has-sidebar), only if it holds a fifth at most and is no article.
 Every node then gets its characters-per-tag density, adjusted for linked text, and its density sum, the sum over its
 children. The node with the largest density sum is the content; the smallest density on its path up to body is the
 threshold, and other subtrees of body of at least that density count as content too, each by its own node of largest
@@ -53,10 +55,10 @@ ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "chars", "links", "tags", "link_tags", "density", "total", "off")
+    __slots__ = ("tag", "parent", "items", "chars", "links", "tags", "link_tags", "density", "total", "off", "named")
 
     def __init__(self, tag: str, parent: Node | None, off: bool):
-        self.tag, self.parent, self.off = tag, parent, off
+        self.tag, self.parent, self.off, self.named = tag, parent, off, 1.0
         self.items: list[Node | str] = []
         self.chars = self.links = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
@@ -80,11 +82,41 @@ def set_aside(tag: str, attributes: str, parent: Node) -> bool:
             return True
         if name == "role" and value.lower() in ASIDE_ROLES:
             return True
-        if name in ("class", "id") and any(w.lower() in ASIDE_WORDS for w in WORDS.findall(value)):
-            return True
     return False
 
 
+def most_aside(tag: str, attributes: str) -> float:
+    """The share of the page's unlinked text up to which an element is set aside for its class or id; 1 without such a name."""
+    if not attributes or tag in ("body", "html", "main"):
+        return 1.0
+    share = 1.0
+    for m in ATTRIBUTE.finditer(attributes):
+        if m[1].lower() in ("class", "id"):
+            for token in (m[2] or "").strip("\"'").split():
+                if token.lower() in ASIDE_WORDS:
+                    return 0.5
+                if tag != "article" and any(w.lower() in ASIDE_WORDS for w in WORDS.findall(token)):
+                    share = 0.2
+    return share
+
+
+def set_named_aside(root: Node) -> None:
+    """Decides on elements by their names, from the unlinked text that they hold."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        if node.tag != "a":
+            stack += [x for x in node.items if isinstance(x, Node) and not x.off]
+    plain: dict[int, int] = {}
+    for node in reversed(order):
+        plain[id(node)] = 0 if node.tag == "a" else sum(len(x.strip()) if isinstance(x, str) else plain.get(id(x), 0) for x in node.items)
+    for node in order:
+        if node.named < 1:
+            bare = node.named == 0.5 and not any(isinstance(x, Node) and x.tag in BLOCK for x in node.items)
+            node.off = bare or plain[id(node)] <= node.named * plain[id(root)]
+
+
 def tree(page: str) -> Node:
     root = now = Node("html", None, False)
     at, end = 0, len(page)
@@ -134,9 +166,11 @@ def tree(page: str) -> Node:
                 while now.tag in ends and now.parent and tag in ("tr", "tbody", "tfoot"):
                     now = now.parent
         new = Node(tag, now, now.off or set_aside(tag, m[3], now))
+        new.named = most_aside(tag, m[3])
         now.items.append(new)
         if not (m[3].endswith("/") and tag not in BLOCK):
             now = new
+    set_named_aside(root)
     return root
 
 

@@ -113,6 +113,12 @@ def test_html_density_selects_with_any_number_of_articles():
     assert "Head" in inside and "alpha" in inside and "elsewhere" not in inside
 
 
+@pytest.mark.parametrize("start,end", [('<article class="post category-social">', "</article>"), ('<div class="layout has-sidebar">', "</div>"), ('<div class="content-with-sidebar">', "</div>"), ('<article class="entry no-comments">', "</article>"), ('<div id="banner">', "</div>")])
+def test_html_names_set_no_main_text_aside(start, end):
+    text = html_text.main_text(f'<body>{start}<h1>Head</h1>{paragraph("alpha")}{paragraph("beta")}<div class="sidebar"><p>Some side words.</p></div>{end}<div class="share-box"><p>Share it now.</p></div></body>')
+    assert all(w in text for w in ("Head", "alpha", "beta")) and "side words" not in text and "Share" not in text
+
+
 @pytest.mark.skipif(not os.path.exists(SF), reason="needs the driver's tables")
 def test_html_of_all_pages(spark):
     rows = html_text.extract(spark.read.parquet(f"{SF}/pages.parquet")).collect()
