@@ -2,8 +2,8 @@ r"""Licence scan by a positional index of rare words.
 
 Licence templates and the base phrases form a small positional index: word -> (template, position). One pass over all
 documents counts in how many each licence word occurs; from that come inverse document frequencies. A second pass looks
-up, for each template, its words of highest IDF (`anchors`) among a document's licence words: an anchor at word p of the
-document and q of the template proposes the start p - q. Starts on which enough anchors agree are checked word by word:
+up, for each template, the words of highest IDF (`anchors`) of its key phrase, which no accepted place lacks: an anchor at
+word p of the document and q of the template proposes the start p - q. Starts on which all anchors agree are checked word by word:
 at least `share` of the template's words must stand at their places, and all of its key phrase. A base phrase must stand
 whole. Texts are never cut; every place is found.
 
@@ -103,10 +103,10 @@ class Index:
         postings = np.argsort(word, kind="stable")
         first = np.searchsorted(word[postings], np.arange(len(self.words) + 1))
         for k, numbers in enumerate(self.numbers):
-            rarest = np.argsort(-idf[numbers], kind="stable")[:anchors]
+            rarest = self.keys[k][np.argsort(-idf[numbers[self.keys[k]]], kind="stable")[:anchors]]
             proposed = [where[postings[first[numbers[q]] : first[numbers[q] + 1]]] - q for q in rarest]
             starts, votes = np.unique(np.concatenate(proposed), return_counts=True)
-            starts = starts[votes >= (len(rarest) if self.rows[k][3] else min(2, len(rarest)))]
+            starts = starts[votes >= len(rarest)]
             if not len(starts):
                 continue
             wanted = starts[:, None] + np.arange(len(numbers))

@@ -36,6 +36,31 @@ def test_licenses_against_plain_matching(documents):
         assert r.labels == ",".join(sorted(set(r.labels.split(","))))
 
 
+def test_altered_licenses_against_plain_matching(documents):
+    draw = random.Random(4)
+    texts = ["nothing"] * 20
+    for _, notice, _ in licenses.TEMPLATES:
+        for changes in (0, 1, 2, 3, 4, 5):
+            words = notice.split()
+            words = [w if i not in draw.sample(range(len(words)), min(changes, len(words))) else "materials" for i, w in enumerate(words)]
+            texts.append(" ".join(["filler"] * draw.randint(0, 3) + words))
+    texts += [licenses.TEMPLATES[1][1].replace("software", "materials")] * 3
+
+    def labels(text):
+        words, got = text.split(), set()
+        for label, notice, key in licenses.TEMPLATES + [(label, phrase, phrase) for label, phrase in licenses.BASE]:
+            notice, key = notice.split(), key.split()
+            k = next(i for i in range(len(notice)) if notice[i : i + len(key)] == key)
+            for at in range(-len(notice), len(words)):
+                same = sum(0 <= at + i < len(words) and words[at + i] == w for i, w in enumerate(notice))
+                if same >= 0.8 * len(notice) and words[max(at + k, 0) : at + k + len(key)] == key:
+                    got.add(label)
+        return ",".join(sorted(got))
+
+    found = {r.doc_id: r.labels for r in licenses.scan(documents(texts)).collect()}
+    assert found == {i: labels(t) for i, t in enumerate(texts)}
+
+
 def test_licenses_of_no_rows(documents):
     assert licenses.scan(documents([])).collect() == []
 
