@@ -11,7 +11,8 @@ of each and `sample_chars` of a language. Prediction reads whole texts, in segme
 each for itself.
 
 `und`, score 0: text is null or has no letter, or there is nothing to learn from. Score: 1 - least / second least
-entropy (1 with one language). Letters unknown to all samples are phrases of their own. Rows with null doc_id are
+entropy (1 with one language). Every letter of the samples is kept: transitions by the commonest DENSE_LETTERS stand in a
+table, those by rarer ones (of many scripts, or Chinese) in a sorted list of keys. Letters unknown to all samples are phrases of their own. Rows with null doc_id are
 predicted, never learnt from, and not held out. Repeated rows are predicted alike.
 """
 
@@ -28,12 +29,14 @@ from .common import bounded
 
 UND = "und"
 SEGMENT = 1024
-MOST_LETTERS = 126
+DENSE_LETTERS = 126
 
 
-def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
+def suffix_automaton(symbols: list[int], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Transitions of the automaton of all substrings: [state, symbol] -> state, 0 for none; state 1 is the start.
 
+    Those by symbols from width - 1 on are rows (state, symbol, to) of the second array.
+
     Blumer et al. (1985): each symbol adds a state for the whole prefix, and splits a state whose substrings no longer
     end at the same places.
     """
@@ -63,11 +66,14 @@ def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
                     at = link[at]
                 link[to] = link[now] = twin
         last = now
-    table = np.zeros((len(step), width), np.int32)
+    table, rare = np.zeros((len(step), width), np.int32), []
     for state, out in enumerate(step):
         for c, to in out.items():
-            table[state, c] = to
-    return table
+            if c < width - 1:
+                table[state, c] = to
+            else:
+                rare.append((state, c, to))
+    return table, np.array(rare, np.int64).reshape(-1, 3)
 
 
 class Model:
@@ -76,29 +82,47 @@ class Model:
     def __init__(self, samples: list[tuple[str, str]]):
         samples = sorted((name, text) for name, text in samples if any(c.isalpha() for c in text))
         self.names = [n for n, _ in samples]
-        letters = sorted({c for _, t in samples for c in t.lower() if c.isalpha()}, key=lambda c: (-sum(t.count(c) for _, t in samples), c))[:MOST_LETTERS]
-        self.width = len(letters) + 2
-        self.symbol = np.zeros(0x110000, np.uint8)
-        self.symbol[[i for i in range(0x110000) if chr(i).isalpha()]] = self.width - 1
+        letters = sorted({c for _, t in samples for c in t.lower() if c.isalpha()}, key=lambda c: (-sum(t.count(c) for _, t in samples), c))
+        self.width = min(len(letters), DENSE_LETTERS) + 2
+        self.unknown = len(letters) + 1
+        self.symbol = np.zeros(0x110000, np.min_scalar_type(self.unknown))
+        self.symbol[[i for i in range(0x110000) if chr(i).isalpha()]] = self.unknown
         for i, c in enumerate(letters):
             for x in {c, c.upper(), c.title()}:
                 if len(x) == 1:
                     self.symbol[ord(x)] = i + 1
         tables, at = [np.zeros(self.width, np.int32)], self.width
-        self.start, size = [], []
+        self.start, size, keys, ends = [], [], [], []
         for _, text in samples:
             symbols = self.symbols(text)
-            own = suffix_automaton([s for s in symbols.tolist() if s < self.width - 1], self.width)
+            own, rare = suffix_automaton([s for s in symbols.tolist() if s < self.unknown], self.width)
+            keys.append((at + rare[:, 0] * self.width) * (self.unknown + 1) + rare[:, 1])
+            ends.append(at + rare[:, 2] * self.width)
             self.start.append(at + self.width)
             tables.append(np.where(own, at + own * self.width, 0).astype(np.int32).ravel())
             at += own.size
             size.append(max(2, len(symbols)))
         self.table = np.concatenate(tables)
+        # sorted, as offsets rise; the last stands for none
+        keys, ends = np.concatenate([*keys, [np.iinfo(np.int64).max]]), np.concatenate([*ends, [0]]).astype(np.int32)
+        order = np.argsort(keys)
+        self.keys, self.ends = keys[order], ends[order]
         self.bits = np.log2(np.array(size, float))
         first = np.array(self.start, np.int64)[:, None]
-        self.again = self.table[first + np.arange(self.width)] if samples else np.zeros((0, self.width), np.int32)
+        self.again = self.step(np.repeat(first, self.unknown + 1, 1), np.arange(self.unknown + 1)) if samples else np.zeros((0, self.unknown + 1), np.int32)
         self.again = np.where(self.again, self.again, first).astype(np.int32) if samples else self.again
 
+    def step(self, state: np.ndarray, now: np.ndarray) -> np.ndarray:
+        """[language, segment]: where the segments' symbols lead, 0 for nowhere."""
+        if self.unknown < self.width:
+            return self.table[state + now]
+        to = self.table[state + np.minimum(now, self.width - 1).astype(np.int32)]
+        if len(rare := np.flatnonzero((now >= self.width - 1) & (now < self.unknown))):
+            wanted = state[:, rare].astype(np.int64) * (self.unknown + 1) + now[rare].astype(np.int64)
+            found = np.searchsorted(self.keys, wanted)
+            to[:, rare] = np.where(self.keys[found] == wanted, self.ends[found], 0)
+        return to
+
     def symbols(self, text: str) -> np.ndarray:
         found = self.symbol[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
         if not len(found):
@@ -114,7 +138,7 @@ class Model:
         active = np.searchsorted(-length, -np.arange(1, int(length[0]) + 1), side="right")
         for t, m in enumerate(active.tolist()):
             now = symbols[start[:m] + t]
-            to = self.table[state[:, :m] + now]
+            to = self.step(state[:, :m], now)
             dead = to == 0
             count[:, :m] += dead
             np.copyto(to, self.again[:, now], where=dead)

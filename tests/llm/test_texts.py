@@ -106,6 +106,17 @@ def test_longest_matches_are_the_automatons():
     assert known.phrases(symbols, np.array([0]), np.array([len(symbols)]))[0, 0] == count
 
 
+def test_languages_of_many_scripts_and_letters():
+    draw = random.Random(6)
+    scripts = {"ar": (0x627, 28), "el": (0x3B1, 24), "hi": (0x905, 50), "ja": (0x3041, 86), "ko": (0xAC00, 900), "ru": (0x430, 32), "th": (0xE01, 46), "zh": (0x4E00, 1500)}
+    words = {k: ["".join(chr(a + draw.randrange(n)) for _ in range(2 + i % 3)) for i in range(300)] for k, (a, n) in scripts.items()}
+    words["zh2"] = ["".join(chr(0x4E00 + draw.randrange(1500)) for _ in range(3)) for _ in range(300)]
+    known = language.Model([(k, " ".join(draw.choices(w, k=2000))) for k, w in words.items()])
+    texts = [(k, " ".join(draw.choices(w, k=12))) for k, w in words.items() for _ in range(5)]
+    found, score = known.predict([t for _, t in texts])
+    assert found == [k for k, _ in texts] and min(score) > 0.2
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>"</script></head><body>
 <nav><a href=x>Home</a> <a href=y>News</a></nav><div class="cookie-notice">We use cookies.</div>
 <article><h1>A &amp; B</h1><p>First   paragraph with <b>bold</b>&nbsp;text, long enough to count as the main text of this page.</p>
