@@ -1,4 +1,4 @@
-"""Corpus pipeline: documents in a language, one of each group of near copies, personal data replaced, packed into windows.
+"""Corpus pipeline: documents with letters, one of each group of near copies, personal data replaced, packed into windows.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Between
 stages the rows are written to the shared folder and read again, so a lost executor costs one stage at most.
@@ -14,7 +14,7 @@ from ripplegraph.llm.queries import tokenizer
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Goes: documents without text or letters, in no language that the labelled rows teach."""
+    """Goes: documents without text or letters. One in an untaught language counts as the likeliest taught one and stays."""
     return language.accepted(docs, language.learn(docs))
 
 
