@@ -12,6 +12,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_folders: set[str] = set()
+_kept: dict = {}
+
+
+def kept(name, make):
+    """A worker process's one large object (a model, a tokenizer): another's takes its place."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def released() -> None:
+    """For tasks that need memory and no such object."""
+    _kept.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -27,17 +44,59 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         top = tempfile.mkdtemp(prefix="ripplegraph-")
         spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/ripplegraph-{uuid.uuid4().hex}"
+    path = f"{top.rstrip('/')}/ripplegraph-{uuid.uuid4().hex}"
+    _folders.add(path)
+    return path
+
+
+class Scratch:
+    """Tables in the shared folder, each deleted as soon as no later step reads it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.tables: dict[int, tuple[DataFrame, str]] = {}
+
+    def write(self, df: DataFrame, *done: DataFrame) -> DataFrame:
+        """df, written and read again: lineage ends here and lost executors cost no recomputation. Then the tables `done` go."""
+        path = shared_dir(self.spark)
+        df.write.parquet(path)
+        self.drop(*done)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.tables[id(table)] = table, path
+        return table
 
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            _, path = self.tables.pop(id(table))
+            delete(self.spark, path)
 
-def written(df: DataFrame, *partition_by: str) -> DataFrame:
-    """df, written to the shared folder and read again: lineage ends here and lost executors cost no recomputation."""
-    path = shared_dir(df.sparkSession)
-    df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+def written(df: DataFrame) -> DataFrame:
+    return Scratch(df.sparkSession).write(df)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """A folder that this process made, on any file system."""
+    if path in _folders:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _folders.discard(path)
+
+
+def folders() -> set[str]:
+    """Those made and not deleted so far; a result that isn't saved yet may read any of them."""
+    return set(_folders)
+
+
+def matching(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "left_semi", most_rows: int = 200_000) -> DataFrame:
+    """The rows whose `on` stand in keys (left_anti: don't). keys: a written table of whole numbers.
+
+    Up to most_rows keys, some MB, are broadcast and no row moves; beyond that both sides are shuffled by the keys.
+    """
+    return rows.join(F.broadcast(keys) if keys.count() <= most_rows else keys, on, how)
 
 
-def bounded(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def bounded(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices whose column holds about max_bytes at most; one row is never split."""
     for batch in batches:
         size = batch.column(batch.schema.get_field_index(column)).nbytes
@@ -48,36 +107,30 @@ def bounded(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 8 <
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node that each node of undirected edges reaches.
+    """(node, component): the smallest node that each node of undirected edges reaches. Nodes are whole numbers.
 
-    Large-star and small-star rounds of Kiveris et al. (2014): hooks every neighbourhood on its smallest
-    node until the edges are stars. Each round is aggregates and equi-joins on nodes, whose hot keys AQE splits;
-    no neighbourhood is gathered. Every round is written to the shared folder. The driver sees two numbers a round.
+    Large-star and small-star rounds of Kiveris et al. (2014): every neighbourhood hooks on its smallest node until the
+    edges are stars. A round is hash aggregates and equi-joins; no neighbourhood is gathered. A star's centre is hot only as
+    `low` of the first join, whose result is dealt anew, so that AQE can split it. Every round is written to the shared
+    folder, in place of the one before. The driver sees two numbers a round.
     """
-    now = written(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    )
+    scratch = Scratch(edges.sparkSession)
+    now = scratch.write(edges.select(F.greatest(a, b).alias("high"), F.least(a, b).alias("low")).where("high <> low").distinct())
     before = None
     for _ in range(most_rounds):
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        state = now.agg(F.count("*"), F.sum(F.xxhash64("high", "low").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             break
         before = state
-        both = now.select("u", "v").union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.union(least.where("m < u").select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        now = written(
-            small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        )
+        least = now.groupBy("high").agg(F.min("low").alias("m"))
+        large = now.join(least.withColumnsRenamed({"high": "low", "m": "lower"}), "low", "left").select("high", F.coalesce("lower", "low").alias("low"))
+        large = large.union(least).distinct()
+        least = large.groupBy("high").agg(F.min("low").alias("m"))
+        small = large.join(least, "high").where("low <> m").select(F.col("low").alias("high"), F.col("m").alias("low"))
+        now = scratch.write(small.union(least).distinct(), now)
     else:
         raise RuntimeError(f"components: not settled after {most_rounds} rounds")
-    stars = now.groupBy("u").agg(F.min("v").alias("component"))
-    roots = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    return stars.select(F.col("u").alias("node"), "component").union(roots.join(stars, roots["node"] == stars["u"], "left_anti"))
+    return now.select(F.col("high").alias("node"), F.col("low").alias("component")).union(now.select(F.col("low").alias("node")).distinct().withColumn("component", F.col("node")))
 
 
 def whole_groups(batches: Iterable[pa.RecordBatch], *keys: str, most_rows: int = 20_000) -> Iterator[pa.Table]:
@@ -92,10 +145,12 @@ def whole_groups(batches: Iterable[pa.RecordBatch], *keys: str, most_rows: int =
         if n < most_rows:
             continue
         table = pa.Table.from_batches(held).combine_chunks()
-        cut = n - 1
-        last = [table.column(k)[n - 1] for k in keys]
-        while cut and all(table.column(k)[cut - 1] == v for k, v in zip(keys, last, strict=True)):
-            cut -= 1
+        same = np.ones(n - 1, bool)
+        for k in keys:
+            v = table.column(k).to_numpy()
+            same &= v[1:] == v[:-1]
+        apart = np.flatnonzero(~same)
+        cut = int(apart[-1]) + 1 if len(apart) else 0
         if cut:
             yield table.slice(0, cut)
         held, n = table.slice(cut).to_batches(), n - cut

@@ -6,14 +6,16 @@ left to right into the longest phrases that occur in a language's sample; few lo
 predicts the text. phrases * log2(sample length) / text length estimates the cross entropy; the least wins, ties go to
 the smaller name. All segments of a batch walk all automata in lockstep, one array operation a character.
 
-Bounds (parameters): `docs_per_language` documents, taken in the order of a hash of doc_id, `chars_per_doc` characters
-of each and `sample_chars` of a language. Prediction reads whole texts, in segments of 1,024 symbols that are parsed
-each for itself.
+Bounds of what is learnt from (parameters): `docs_per_language` documents, taken in the order of a hash of doc_id,
+`chars_per_doc` characters of each, `sample_chars` of a language and `all_chars` of all languages, shared out evenly. More than
+`most_languages` labels are an error, as such a column doesn't hold languages. Prediction reads whole texts, in segments of
+1,024 symbols that are parsed each for itself.
 
 `und`, score 0: text is null or has no letter, or there is nothing to learn from. Score: 1 - least / second least
 entropy (1 with one language). Every letter of the samples is kept: transitions by the commonest DENSE_LETTERS stand in a
-table, those by rarer ones (of many scripts, or Chinese) in a sorted list of keys. Letters unknown to all samples are phrases of their own. Rows with null doc_id are
-predicted, never learnt from, and not held out. Repeated rows are predicted alike.
+table, those by rarer ones (of many scripts, or Chinese) in a sorted list of keys. Letters unknown to all samples are
+phrases of their own. Rows with null doc_id are predicted, never learnt from, and not held out. Repeated rows are predicted alike. An empty table gives no rows. Other
+columns are not read, whatever their names; accepted() passes them on.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded
+from .common import bounded, kept
 
 UND = "und"
 SEGMENT = 1024
@@ -131,6 +133,12 @@ class Model:
         keep[1:] |= found[:-1] != 0
         return found[keep]
 
+    def taught(self, text: str, most_unknown: float) -> bool:
+        """Whether text has letters, and at most this share of them are unknown."""
+        count = np.bincount(self.symbols(text), minlength=self.unknown + 1)
+        letters = int(count[1:].sum())
+        return letters > 0 and (not self.names or count[self.unknown] <= most_unknown * letters)
+
     def phrases(self, symbols: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         """[language, segment]: phrases of each segment; segments are in descending order of length."""
         state = np.repeat(np.array(self.start, np.int32)[:, None], len(start), 1)
@@ -172,7 +180,7 @@ def held_out(id_column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_column).cast("string")) % 3 == 1, F.lit(False))
 
 
-def learn(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang", docs_per_language: int = 256, chars_per_doc: int = 1500, sample_chars: int = 50_000) -> list[tuple[str, str]]:
+def learn(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang", docs_per_language: int = 64, chars_per_doc: int = 1500, sample_chars: int = 50_000, all_chars: int = 200_000, most_languages: int = 256) -> list[tuple[str, str]]:
     """Each language's sample. Ids are ranked without their texts; then the ranked ids' texts are fetched.
 
     The driver receives docs_per_language * chars_per_doc characters a language at most.
@@ -181,29 +189,27 @@ def learn(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = rows.select("doc_id", "lang", F.row_number().over(order).alias("nth")).where(F.col("nth") <= docs_per_language)
-    ids: dict = {}
-    for r in chosen.collect():
-        ids.setdefault(r["doc_id"], (r["nth"], r["lang"]))
-    if not ids:
+    ranked = chosen.limit(docs_per_language * most_languages + 1).toArrow()
+    languages = set(ranked.column("lang").to_pylist())
+    if len(languages) > most_languages or ranked.num_rows > docs_per_language * most_languages:
+        raise ValueError(f"{label_column} holds more than {most_languages} languages")
+    if not languages:
         return []
-    bounded_ids = docs.sparkSession.createDataFrame([(i,) for i in ids], f"doc_id {dict(rows.dtypes)['doc_id']}")
+    ids: dict = {}
+    for doc_id, lang, nth in sorted(zip(*(ranked.column(c).to_pylist() for c in ("doc_id", "lang", "nth")), strict=True), key=lambda r: (r[2], r[1], r[0])):
+        ids.setdefault(doc_id, (nth, lang))
+    bounded_ids = docs.sparkSession.createDataFrame(pa.table({"doc_id": pa.array(list(ids), ranked.schema.field("doc_id").type)}))
     texts = rows.join(F.broadcast(bounded_ids), "doc_id").select("doc_id", "lang", F.substring("text", 1, chars_per_doc).alias("text")).distinct()
     samples: dict[str, str] = {}
-    for r in sorted(texts.collect(), key=lambda r: (ids[r["doc_id"]], r["text"])):
-        samples[r["lang"]] = (samples.get(r["lang"], "") + " " + r["text"])[:sample_chars]
+    size = min(sample_chars, all_chars // len(languages))
+    for r in sorted(texts.collect(), key=lambda r: (ids[r["doc_id"]], r["lang"], r["text"])):
+        samples[r["lang"]] = (samples.get(r["lang"], "") + " " + r["text"])[:size]
     return sorted(samples.items())
 
 
-_models: dict[int, Model] = {}
-
-
 def model(samples: list[tuple[str, str]]) -> Model:
     """One for each worker process, kept between its tasks."""
-    key = hash(tuple(samples))
-    if key not in _models:
-        _models.clear()
-        _models[key] = Model(samples)
-    return _models[key]
+    return kept(("language", tuple(samples)), lambda: Model(samples))
 
 
 def identify(docs: DataFrame, samples: list[tuple[str, str]], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -219,13 +225,20 @@ def identify(docs: DataFrame, samples: list[tuple[str, str]], id_column: str = "
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, samples: list[tuple[str, str]], text_column: str = "text") -> DataFrame:
-    """The rows of docs, columns as they are, whose text has a language; those predicted `und` go."""
+def accepted(docs: DataFrame, samples: list[tuple[str, str]], text_column: str = "text", label_column: str = "lang", most_unknown: float = 0.5) -> DataFrame:
+    """The rows of docs, columns as they are, whose text has a taught language; the label column, if there is one, holds it.
+
+    Goes: text that is null or has no letter, and text more than most_unknown of whose letters no language's sample holds,
+    as it is of another script. With nothing learnt only the former goes, and labels stay.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = model(samples)
         for batch in bounded(batches, text_column):
-            lang, _ = known.predict(batch.column(batch.schema.get_field_index(text_column)).to_pylist())
-            yield batch.filter(pa.array([x != UND for x in lang], pa.bool_()))
+            texts = batch.column(batch.schema.get_field_index(text_column)).to_pylist()
+            if label_column in batch.schema.names and samples:
+                at = batch.schema.get_field_index(label_column)
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(known.predict(texts)[0], batch.schema.types[at]))
+            yield batch.filter(pa.array([known.taught(t or "", most_unknown) for t in texts], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,18 +1,22 @@
 r"""Jaccard self-join of documents on word n-grams, with Bayesian pruning of candidates (Satuluri and Parthasarathy, 2012).
 
-1. A document becomes its set of word n-grams (hashed to 64 bits), a content key (128 bits of the set), a MinHash signature
-   and band hashes. Documents of one key are copies: one of them, the smallest doc_id, stands for all.
-2. Representatives that share a band are candidates. Their signatures are compared a part at a time; a pair goes as soon
-   as the posterior probability of similarity >= threshold (uniform prior) falls below tolerance.
+1. A document becomes its set of word n-grams (hashed to 64 bits), a content key (128 bits of the set) and a MinHash signature.
+   Documents of one key are copies: one of them, the smallest doc_id, stands for all.
+2. Representatives that share a band (four neighbouring values of the signature) are candidates. Their signatures are
+   compared a part at a time; a pair goes as soon as the posterior probability of similarity >= threshold (uniform prior)
+   falls below tolerance.
 3. What survives joins representatives into clusters; within these every pair is pruned likewise and the rest verified
    exactly on their n-gram sets.
 
 No list of pairs leaves a task: a block of a bucket gives a spanning forest of its survivors, a block of a cluster gives
 each row's number of links and a spanning forest. Buckets and clusters of any size are dealt into blocks of bounded size.
+Texts move only for representatives in clusters, and not at all where those are few enough to broadcast their ids.
 
 Words are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ of the lower-cased text. A text of fewer words than n, but one at least, has
 one n-gram of all its words. Null texts and texts without a word link with nothing and are their own class. Rows with a
-null doc_id take no part: their class is null. Repeated rows are copies of each other.
+null doc_id take no part: their class is null. Repeated rows are copies of each other; rows of one doc_id with different
+texts are judged each for itself, but what links to either is of one class. An empty table gives no rows. Other columns
+are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,10 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, block_pairs, bounded, components, group_numbers, whole_groups, written
+from .common import Forest, Scratch, block_pairs, bounded, components, group_numbers, matching, released, whole_groups
 
 HASHES, ROWS = 64, 4
 STEP = 16
+SLICE = 1 << 20
 IS_WORD = np.array([0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 for b in range(256)])
 _random = np.random.default_rng(20_240_601)
 BYTE = _random.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -114,49 +119,47 @@ def surviving(a: np.ndarray, b: np.ndarray, least: tuple[int, ...]) -> np.ndarra
     return left
 
 
-def unpacked(column: pa.ChunkedArray, kind: str, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
+def values(signature: pa.ChunkedArray) -> np.ndarray:
+    """[row, hash]: MinHash values of 16 bits; a signature is stored as one number for each band."""
+    flat = [c.flatten().to_numpy() for c in (signature.chunks if isinstance(signature, pa.ChunkedArray) else [signature])]
+    return np.concatenate(flat).view("<u2").reshape(-1, HASHES)
 
 
 def sketched(docs: DataFrame, n: int, id_column: str, text_column: str) -> DataFrame:
-    """doc_id, text_hash, key, size, signature (16 bits a value), bands of every row that has an n-gram."""
+    """doc_id, text_hash, k1 and k2 (the content key), size, signature of every row; the last four null without an n-gram or id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, "text", 4 << 20):
-            if not batch.num_rows:
-                continue
-            sets = shingles([t.lower().encode("utf-8", "replace") for t in batch.column(2).to_pylist()], n)
-            some = [i for i, s in enumerate(sets) if len(s)]
-            sets = [sets[i] for i in some]
-            sign = signatures(sets)
-            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            band = np.zeros((len(sets), HASHES // ROWS), np.uint64)
-            for j in range(ROWS):
-                band = mixed(band + sign[:, j::ROWS].astype(np.uint64) + np.uint64(1))
-            band = mixed(band + np.arange(band.shape[1], dtype=np.uint64)).astype(np.int64)
-            short = sign.astype("<u2")
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(some, pa.int64())), batch.column(1).take(pa.array(some, pa.int64())), pa.array(keys, pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array([s.tobytes() for s in short], pa.binary()), pa.array(band.tolist(), pa.list_(pa.int64()))],
-                ["doc_id", "text_hash", "key", "size", "signature", "bands"],
-            )
-
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text_column).alias("text_hash"), F.col(text_column).alias("text"))
-    return rows.where("text is not null and doc_id is not null").mapInArrow(run, "doc_id long, text_hash long, key binary, size long, signature binary, bands array<long>")
+        released()
+        for batch in bounded(batches, "text", SLICE):
+            sets = shingles([(t or "").lower().encode("utf-8", "replace") for t in batch.column(2).to_pylist()], n)
+            none = np.fromiter((not len(s) for s in sets), bool, len(sets))
+            sets = [s for s in sets if len(s)]
+            keys = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), "<i8").reshape(-1, 2)
+            sign = signatures(sets).astype("<u2").view("<i8")
+            every = np.cumsum(~none) - 1
+            filled = lambda x: pa.array(x[every] if len(sets) else np.zeros(len(none), np.int64), mask=none)
+            bounds = np.concatenate([[0], np.cumsum(~none)]) * (HASHES // ROWS)
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(sign.ravel()))
+            size = np.fromiter(map(len, sets), np.int64, len(sets))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), filled(keys[:, 0]), filled(keys[:, 1]), filled(size), lists], ["doc_id", "text_hash", "k1", "k2", "size", "signature"])
+
+    doc_id = F.col(id_column).cast("long")
+    rows = docs.select(doc_id.alias("doc_id"), F.xxhash64(text_column).alias("text_hash"), F.when(doc_id.isNotNull(), F.col(text_column)).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, k1 long, k2 long, size long, signature array<long>")
 
 
 def clusters(reps: DataFrame, least: tuple[int, ...], chunk_rows: int) -> DataFrame:
-    """(node, component) of representatives' keys that candidates surviving on their whole signatures join."""
-    banded = reps.select("key", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = banded.join(shared, "band").join(reps.select("key", "signature"), "key")
-    blocks = block_pairs(members, chunk_rows, "key").repartition("band", "a", "b").sortWithinPartitions("band", "a", "b")
+    """(node, component) of representatives that candidates surviving on their whole signatures join."""
+    banded = reps.select("doc_id", "k1", "k2", F.posexplode("signature").alias("place", "band"))
+    shared = banded.groupBy("place", "band").agg(F.count("*").alias("n")).where("n > 1")
+    members = banded.join(shared, ["place", "band"]).join(reps.select("doc_id", "k1", "k2", "signature"), ["doc_id", "k1", "k2"])
+    blocks = block_pairs(members, chunk_rows, "k1").repartition("place", "band", "a", "b").sortWithinPartitions("place", "band", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "band", "a", "b"):
-            group = group_numbers(table, "band", "a", "b")
+        for table in whole_groups(batches, "place", "band", "a", "b"):
+            group = group_numbers(table, "place", "band", "a", "b")
             across = table.column("a").to_numpy() != table.column("b").to_numpy()
-            chunk = table.column("chunk").to_numpy()
-            sign = unpacked(table.column("signature"), "<u2", HASHES)
+            chunk, node, sign = table.column("chunk").to_numpy(), table.column("doc_id").to_numpy(), values(table.column("signature"))
             forest, rows = Forest(len(group)), np.arange(len(group))
             for d in range(1, int(np.bincount(group).max())):
                 rows = rows[: np.searchsorted(rows, len(group) - d)]
@@ -168,28 +171,29 @@ def clusters(reps: DataFrame, least: tuple[int, ...], chunk_rows: int) -> DataFr
                     some = some[surviving(sign[some], sign[some + d], least)]
                     forest.link(some, some + d)
             moved = np.flatnonzero(forest.label != np.arange(len(group)))
-            keys = table.column("key").combine_chunks()
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(moved)), keys.take(pa.array(forest.label[moved]))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[forest.label[moved]])], ["a", "b"])
 
-    edges = blocks.select("band", "a", "b", "chunk", "key", "signature").mapInArrow(run, "a binary, b binary")
+    edges = blocks.select("place", "band", "a", "b", "chunk", "doc_id", "signature").mapInArrow(run, "a long, b long")
     return components(edges)
 
 
 def verified(members: DataFrame, docs: DataFrame, n: int, threshold: float, least: tuple[int, ...], chunk_rows: int, chunk_grams: int, id_column: str, text_column: str) -> DataFrame:
-    """(key, links, root): what each block finds for each of its rows. members: doc_id, text_hash, key, size, copies, component."""
-    size = members.groupBy("component").agg(F.greatest(F.count("*"), F.ceil(F.sum("size") * chunk_rows / chunk_grams)).alias("n"))
+    """(k1, k2, node, links, root): what each block finds for each of its rows.
+
+    members, a written table: doc_id, text_hash, k1, k2, copies, signature, cluster, n (rows of the cluster, or as many as its n-grams count for).
+    """
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text_column).alias("text_hash"), F.col(text_column).alias("text"))
-    rows = members.join(size, "component").where("n > 1").join(texts, ["doc_id", "text_hash"])
-    rows = rows.select("component", "key", "copies", "signature", "n", "text").dropDuplicates(["key"])
+    texts = matching(texts, members.select("doc_id", "text_hash"), ["doc_id", "text_hash"])
+    rows = members.join(texts, ["doc_id", "text_hash"]).select("cluster", "doc_id", "k1", "k2", "copies", "signature", "n", "text")
+    rows = rows.dropDuplicates(["k1", "k2"])
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, "text", 4 << 20):
-            sets = shingles([t.lower().encode("utf-8", "replace") for t in batch.column(5).to_pylist()], n)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array([s.tobytes() for s in sets], pa.binary())], ["component", "key", "copies", "signature", "n", "grams"])
+        for batch in bounded(batches, "text", SLICE):
+            sets = shingles([t.lower().encode("utf-8", "replace") for t in batch.column(7).to_pylist()], n)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array([s.tobytes() for s in sets], pa.binary())], [*batch.schema.names[:7], "grams"])
 
-    hashed = rows.mapInArrow(grams, "component binary, key binary, copies long, signature binary, n long, grams binary")
-    numbered = hashed.withColumn("cluster", F.xxhash64("component"))  # clusters of equal hashes only share a block
-    blocks = block_pairs(numbered, chunk_rows, "key").repartition("cluster", "a", "b").sortWithinPartitions("cluster", "a", "b")
+    hashed = rows.mapInArrow(grams, "cluster long, doc_id long, k1 long, k2 long, copies long, signature array<long>, n long, grams binary")
+    blocks = block_pairs(hashed, chunk_rows, "k1").repartition("cluster", "a", "b").sortWithinPartitions("cluster", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "cluster", "a", "b", most_rows=1000):
@@ -199,10 +203,10 @@ def verified(members: DataFrame, docs: DataFrame, n: int, threshold: float, leas
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 links[lo:hi], root[lo:hi] = block_links(table.slice(lo, hi - lo), threshold, least)
                 root[lo:hi] += lo
-            keys = table.column("key").combine_chunks()
-            yield pa.RecordBatch.from_arrays([keys, pa.array(links), keys.take(pa.array(root))], ["key", "links", "root"])
+            node, some = table.column("doc_id").to_numpy(), np.flatnonzero(links)
+            yield pa.RecordBatch.from_arrays([*(pa.array(table.column(k).to_numpy()[some]) for k in ("k1", "k2")), pa.array(node[some]), pa.array(links[some]), pa.array(node[root[some]])], ["k1", "k2", "node", "links", "root"])
 
-    return blocks.select("cluster", "a", "b", "chunk", "key", "copies", "signature", "grams").mapInArrow(run, "key binary, links long, root binary")
+    return blocks.select("cluster", "a", "b", "chunk", "doc_id", "k1", "k2", "copies", "signature", "grams").mapInArrow(run, "k1 long, k2 long, node long, links long, root long")
 
 
 def block_links(table: pa.Table, threshold: float, least: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -210,7 +214,7 @@ def block_links(table: pa.Table, threshold: float, least: tuple[int, ...]) -> tu
     m = table.num_rows
     across = table.column("a")[0] != table.column("b")[0]
     chunk, copies = table.column("chunk").to_numpy(), table.column("copies").to_numpy()
-    sign = unpacked(table.column("signature"), "<u2", HASHES)
+    sign = values(table.column("signature"))
     sets = [np.frombuffer(g, np.uint64) for g in table.column("grams").to_pylist()]
     size = np.fromiter(map(len, sets), np.int64, m)
     owner = np.repeat(np.arange(m), size)
@@ -249,38 +253,38 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float =
 
     n_links counts the other rows with similarity >= threshold, copies included.
     """
-    least = least_matches(threshold, tolerance)
-    sketches = written(sketched(docs, n, id_column, text_column))
-    first = F.min(F.struct("doc_id", "text_hash", "size", "signature", "bands")).alias("first")
-    reps = sketches.groupBy("key").agg(first, F.count("*").alias("copies")).select("key", "copies", "first.*")
-    reps = written(reps)
-    clustered = written(clusters(reps, least, chunk_rows))
-    members = clustered.withColumnRenamed("node", "key").join(reps.drop("bands"), "key")
-    found = written(verified(members, docs, n, threshold, least, chunk_rows // 4, chunk_grams, id_column, text_column))
-    links = found.groupBy("key").agg(F.sum("links").alias("links"))
-    groups = components(found.select(F.col("key").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "key")
-    known = reps.select("key", "copies", "doc_id").join(groups, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    smallest = known.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    known = known.join(smallest, "component").join(links, "key", "left")
-    known = known.select("key", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    linked = sketches.select("doc_id", "text_hash", "key").join(known.where("n_links > 0"), "key", "left")
-    rows = linked.select("doc_id", "text_hash", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    every = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text_column).alias("text_hash"), F.col(text_column).alias("text"))
-    bare = every.where("doc_id is null or text is null or not " + HAS_WORD).select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return rows.union(bare).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
-
-
-#: A word as shingles() finds them, upper-case letters included.
-HAS_WORD = r"coalesce(text rlike '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]', false)"
+    least, key, scratch = least_matches(threshold, tolerance), ["k1", "k2"], Scratch(docs.sparkSession)
+    sketches = scratch.write(sketched(docs, n, id_column, text_column))
+    # rows of one key agree in size and signature
+    reps = sketches.where("k1 is not null").groupBy(*key).agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("signature").alias("signature"))
+    reps = scratch.write(reps.select(*key, "first.*", "copies", "size", "signature"))
+    clustered = scratch.write(clusters(reps, least, chunk_rows))
+    members = scratch.write(clustered.withColumnsRenamed({"node": "doc_id", "component": "cluster"}).join(reps, "doc_id"), clustered)
+    size = members.groupBy("cluster").agg(F.greatest(F.count("*"), F.ceil(F.sum("size") * (chunk_rows // 4) / chunk_grams)).alias("n"))
+    members = scratch.write(members.drop("size").join(size, "cluster"), members)
+    found = scratch.write(verified(members, docs, n, threshold, least, chunk_rows // 4, chunk_grams, id_column, text_column), members)
+    groups = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    linked = found.groupBy(*key, "node").agg(F.sum("links").alias("links")).join(groups, "node", "left")
+    linked = scratch.write(linked.select(*key, "links", F.coalesce("component", "node").alias("class_id")), found)
+    known = reps.select(*key, "copies", "doc_id").join(linked, key, "left").select(*key, F.coalesce("class_id", "doc_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    known = scratch.write(known.where("n_links > 0"), linked, reps)
+    rows = sketches.select("doc_id", "text_hash", *key).join(known, key, "left")
+    rows = rows.select("doc_id", "text_hash", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """The rows of docs, columns as they are, without all but one of each class; a class keeps its smallest doc_id."""
-    found = join(docs, id_column=id_column, text_column=text_column, **options)
-    noted = found.groupBy("doc_id", "text_hash").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("rows"))
-    noted = noted.where("doc_id is not null and (not kept or rows > 1)").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("kept").alias("__kept"))
-    same = (F.col(id_column).cast("long") == F.col("__id")) & (F.xxhash64(text_column) == F.col("__hash"))
-    joined = docs.join(written(noted), same, "left")
-    alone = joined.where("__id is null").select(*docs.columns)
-    again = joined.where("__kept").dropDuplicates(["__id", "__hash"]).select(*docs.columns)
-    return alone.union(again)
+    """The rows of docs, columns as they are, without all but one of each class; a class keeps its smallest doc_id.
+
+    Rows move only where those that go, or those repeated, are too many to broadcast their ids.
+    """
+    found, scratch = join(docs, id_column=id_column, text_column=text_column, **options), Scratch(docs.sparkSession)
+    noted = found.where("doc_id is not null").groupBy("doc_id", "text_hash").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("rows"))
+    on = ["__doc_id", "__text_hash"]
+    noted = scratch.write(noted.where("not kept or rows > 1").select(F.col("doc_id").alias(on[0]), F.col("text_hash").alias(on[1]), "kept"))
+    keyed = docs.withColumns({on[0]: F.col(id_column).cast("long"), on[1]: F.xxhash64(text_column)})
+    left = matching(keyed, noted.select(*on), on, "left_anti")
+    again = noted.where("kept").select(*on)
+    if not again.isEmpty():
+        left = left.unionByName(matching(keyed, again, on).dropDuplicates(on))
+    return left.select(*docs.columns)
