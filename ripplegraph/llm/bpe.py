@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded
+from .common import bounded, kept
 
 #: The byte-level alphabet writes these bytes as themselves, and the others, in order, from U+0100 on.
 PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -212,22 +212,21 @@ def sha(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-_models: dict[str, Bpe] = {}
-
-
 def model(path: str) -> Bpe:
     """One for each worker process, kept between its tasks."""
-    if path not in _models:
-        _models[path] = Bpe(path)
-    return _models[path]
+    return kept(("bpe", path), lambda: Bpe(path))
 
 
 def digests(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; null text counts as empty. Nothing is shuffled."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row. Nothing is shuffled.
+
+    Null text counts as empty: no tokens, digests of the empty string. Rows with equal or null doc_id each have a row of
+    their own; an empty table gives none. Other columns are not read, whatever their names.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(tokenizer)
-        for batch in bounded(batches, "text", 16 << 20):
+        for batch in bounded(batches, "text", 8 << 20):
             n, a, b = bpe.digests(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

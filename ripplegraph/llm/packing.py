@@ -7,7 +7,11 @@ cut. When a partition ends, its open windows (at most `windows` times `length` i
 partitions concatenate theirs into full sequences. What a group has left is cut at powers of two, where a sequence
 needs no padding.
 
-Null or empty text is the end id alone. Rows with equal doc_id are packed each for itself; a null doc_id stays null.
+A group's task reads at most 64 * windows * length ids (4,194,304 with the defaults), however large the table is, and there
+is one group for each 64 input partitions: the merge spreads as the input grows, and no group grows with it.
+
+Null or empty text is the end id alone. Rows with equal doc_id are packed each for itself; a null doc_id stays null. An
+empty table gives no rows. Other columns are not read, whatever their names.
 Sequence ids are unique, and the same in each run on the same files: partition number in the high bits, a count in
 the low ones.
 """
@@ -125,7 +129,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = 1024, w
 
         encode, number = encoder(tokenizer, keep_space), TaskContext.get().partitionId()
         packer = Packer(length, windows, number << 32)
-        for batch in bounded(batches, "text", 16 << 20):
+        for batch in bounded(batches, "text", 8 << 20):
             ids, bounds = encode.encode(batch.column(1))
             ids = np.insert(ids, bounds[1:], end_id).astype("<u4")
             bounds = (bounds + np.arange(len(bounds))).tolist()

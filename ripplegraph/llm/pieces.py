@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import kept
+
 #: Before a space that follows something surely not white space a byte-level pre-token always starts.
 BEFORE_SPACE = re.compile(r"(?<![\s\u180e])(?= )")
 #: Whatever may be white space, before a space, as the library of pyarrow writes it.
@@ -32,10 +34,10 @@ def split_keeping_space(text: str) -> list[str]:
 class PieceEncoder:
     """ids of texts, equal to tokenizer.encode(text, add_special_tokens=False).ids.
 
-    most_pieces bounds the worker's memory: a full store is emptied and filled again.
+    most_pieces and most_chars bound the worker's memory: a full store is emptied and filled again.
     """
 
-    def __init__(self, path: str, keep_space: bool, most_pieces: int = 600_000):
+    def __init__(self, path: str, keep_space: bool, most_pieces: int = 600_000, most_chars: int = 16 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -46,13 +48,13 @@ class PieceEncoder:
         self.mark, self.mark_id = next(iter(special.items()), (None, None))
         self.keep_space = keep_space
         self.split = split_keeping_space if keep_space else split_dropping_space
-        self.most = most_pieces
+        self.most, self.most_chars = most_pieces, most_chars
         self.clear()
 
     def clear(self) -> None:
         self.row: dict[str, int] = {}
         self.flat = np.empty(1 << 16, np.uint32)
-        self.used = 0
+        self.used = self.chars = 0
         self.start = np.zeros(1 << 14, np.int64)
         self.length = np.zeros(1 << 14, np.int64)
 
@@ -88,11 +90,12 @@ class PieceEncoder:
     def rows_of(self, pieces: list[str]) -> np.ndarray:
         """Rows of distinct pieces; unknown ones are learnt first."""
         new = [p for p in pieces if p not in self.row]
-        if len(self.row) + len(new) > self.most and self.row:
+        if self.row and (len(self.row) + len(new) > self.most or self.chars + sum(map(len, new)) > self.most_chars):
             self.clear()
             new = pieces
         if new:
             self.learn(new)
+            self.chars += sum(map(len, new))
         return np.fromiter(map(self.row.__getitem__, pieces), np.int64, len(pieces))
 
     def gathered(self, rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,11 +149,6 @@ class PieceEncoder:
         return self.gathered(rows, counts)
 
 
-_encoders: dict[tuple, PieceEncoder] = {}
-
-
 def encoder(path: str, keep_space: bool) -> PieceEncoder:
     """One for each worker process, kept between its tasks."""
-    if (path, keep_space) not in _encoders:
-        _encoders[path, keep_space] = PieceEncoder(path, keep_space)
-    return _encoders[path, keep_space]
+    return kept(("pieces", path, keep_space), lambda: PieceEncoder(path, keep_space))

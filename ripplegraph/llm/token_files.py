@@ -45,7 +45,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, keep_space:
         context = TaskContext.get()
         name = f"{context.partitionId():06d}-{context.taskAttemptId()}"
         out, files, rows, total = filesystem(folder), {}, 0, 0
-        for batch in bounded(batches, "text", 16 << 20):
+        for batch in bounded(batches, "text", 8 << 20):
             if not batch.num_rows:
                 continue
             if not files:
