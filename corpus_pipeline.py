@@ -1,7 +1,12 @@
-"""Corpus pipeline: documents with letters, one of each group of near copies, personal data replaced, packed into windows.
+"""Corpus pipeline: documents of a known language, one of each group of near copies, personal data replaced, packed into windows.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Between
-stages the rows are written to the shared folder and read again, so a lost executor costs one stage at most.
+stages the rows are written to the shared folder and read again, so a lost executor costs one stage at most; what a stage
+wrote besides is deleted then.
+
+Null, empty and letterless texts go in the first stage. Rows with a null doc_id stay, each for itself. Rows repeated with
+their doc_id count once. Columns other than doc_id, text, lang and n_chars pass unchanged up to the last stage, which
+reads doc_id and text. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -9,12 +14,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ripplegraph.llm import language, ngram_join, packing, surrogates
-from ripplegraph.llm.common import written
+from ripplegraph.llm.common import delete, folders, written
 from ripplegraph.llm.queries import tokenizer
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Goes: documents without text or letters. One in an untaught language counts as the likeliest taught one and stays."""
+    """Goes: documents without text or letters, or mostly of letters that no taught language has. The rest get the language found as lang."""
     return language.accepted(docs, language.learn(docs))
 
 
@@ -40,7 +45,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
+        before = folders()
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
+            made = folders()
             docs = written(docs)
+            for path in made - before:
+                delete(spark, path)
     return docs
