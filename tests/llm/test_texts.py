@@ -1,8 +1,10 @@
 """Licence scan against plain matching, languages on held-out text, HTML on written pages."""
 
+import math
 import os
 import random
 import re
+import time
 import zlib
 
 import pyarrow.parquet as pq
@@ -155,6 +157,73 @@ def test_html_names_set_no_main_text_aside(start, end):
     assert all(w in text for w in ("Head", "alpha", "beta")) and "side words" not in text and "Share" not in text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body><p>text</p></body>", "text"),
+        (f"<body><form><div><h1>Head</h1>{paragraph('alpha')}</div></form></body>", "Head\n" + "alpha " * 59 + "alpha."),
+        (f"<body><form>Search now</form>{paragraph('alpha')}</body>", "alpha " * 59 + "alpha."),
+        (f"<body><div><h1>Head</h1><div>{paragraph('alpha')}{paragraph('beta')}</div></div></body>", "Head\n" + "alpha " * 59 + "alpha.\n" + "beta " * 59 + "beta."),
+        ("<body><nav><a href=x>Home</a></nav></body>", ""),
+        ("<p>5 < 6 and <b title='a > b'>c", "5 < 6 and c"),
+        ("<table><tr><td>a<div>b<td>c<tr><td>d</table>", "a\nb\nc\nd"),
+        ("<p>kept</p><a href=", "kept"),
+    ],
+)
+def test_html_keeps_the_whole_article(page, text):
+    assert html_text.main_text(page) == text
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a href=" ', '<a href=">" ', "<b>", "<script>", "<noscript>x", "<li>", "<!--", "<svg>", "<p><td><b>", "</b>", "<h2></h2>x", "<b><h2></h2>"])
+def test_html_of_broken_pages_takes_time_in_proportion(part):
+    took = []
+    for size in (100_000, 400_000):
+        page, began = part * (size // len(part)) + "</i>" * 5000, time.process_time()
+        html_text.main_text(page)
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 0.5, took
+
+
+def test_html_densities_are_those_of_the_definition():
+    """Counts of every node of random trees, by plain recursion over the written tree; densities and sums from them."""
+    draw = random.Random(2)
+
+    def grown(depth):
+        tag = draw.choice(["div", "span", "a", "b", "section"])
+        return tag, [grown(depth - 1) if depth and draw.random() < 0.7 else draw.choice(["x", "some words", "more words than that"]) for _ in range(draw.randint(0, 4))]
+
+    def page(node):
+        return node if isinstance(node, str) else f"<{node[0]}>{''.join(map(page, node[1]))}</{node[0]}>"
+
+    def counts(node):
+        """Characters, linked characters, tags and linked tags below a node."""
+        if isinstance(node, str):
+            return len(node), 0, 0, 0
+        c, lc, t, lt = (sum(x) for x in zip((0, 0, 0, 0), *map(counts, node[1])))
+        t += sum(not isinstance(x, str) for x in node[1])
+        return (c, c, t, lt + 1) if node[0] == "a" else (c, lc, t, lt)
+
+    for _ in range(60):
+        body = ("body", [grown(4) for _ in range(3)])
+        whole = counts(body)
+
+        def density(node):
+            c, lc, t, lt = counts(node)
+            if isinstance(node, str) or not c:
+                return 0.0
+            base = math.log(c / max(1, c - lc) * lc + (whole[1] / whole[0]) * c + math.e)
+            return c / max(1, t) * math.log(max(1.0, c / max(1, lc) * max(1, t) / max(1, lt))) / base
+
+        nodes, want = [body], []
+        while nodes:
+            node = nodes.pop(0)
+            sums = sum(density(x) for x in node[1])
+            want.append((node[0], density(node), max(sums, density(node)) if any(isinstance(x, str) for x in node[1]) else sums))
+            nodes = [x for x in node[1] if not isinstance(x, str)] + nodes
+        got = html_text.measured(next(x for x in html_text.tree(page(body)).items if x.tag == "body"))
+        assert [(x.tag, pytest.approx(x.density), pytest.approx(x.total)) for x in got] == want
+
+
 @pytest.mark.skipif(not os.path.exists(SF), reason="needs the driver's tables")
 def test_html_of_all_pages(spark):
     rows = html_text.extract(spark.read.parquet(f"{SF}/pages.parquet")).collect()
