@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -25,8 +27,11 @@ def kept(name, make):
 
 
 def released() -> None:
-    """For tasks that need memory and no such object."""
+    """For tasks that need memory and no such object, at their start and end: what is free goes back to the system."""
     _kept.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,7 +101,7 @@ def matching(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "left_s
     return rows.join(F.broadcast(keys) if keys.count() <= most_rows else keys, on, how)
 
 
-def bounded(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def bounded(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices whose column holds about max_bytes at most; one row is never split."""
     for batch in batches:
         size = batch.column(batch.schema.get_field_index(column)).nbytes

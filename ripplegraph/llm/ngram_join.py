@@ -142,6 +142,7 @@ def sketched(docs: DataFrame, n: int, id_column: str, text_column: str) -> DataF
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(sign.ravel()))
             size = np.fromiter(map(len, sets), np.int64, len(sets))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), filled(keys[:, 0]), filled(keys[:, 1]), filled(size), lists], ["doc_id", "text_hash", "k1", "k2", "size", "signature"])
+        released()
 
     doc_id = F.col(id_column).cast("long")
     rows = docs.select(doc_id.alias("doc_id"), F.xxhash64(text_column).alias("text_hash"), F.when(doc_id.isNotNull(), F.col(text_column)).alias("text"))
@@ -172,6 +173,7 @@ def clusters(reps: DataFrame, least: tuple[int, ...], chunk_rows: int) -> DataFr
                     forest.link(some, some + d)
             moved = np.flatnonzero(forest.label != np.arange(len(group)))
             yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[forest.label[moved]])], ["a", "b"])
+        released()
 
     edges = blocks.select("place", "band", "a", "b", "chunk", "doc_id", "signature").mapInArrow(run, "a long, b long")
     return components(edges)
@@ -205,6 +207,7 @@ def verified(members: DataFrame, docs: DataFrame, n: int, threshold: float, leas
                 root[lo:hi] += lo
             node, some = table.column("doc_id").to_numpy(), np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([*(pa.array(table.column(k).to_numpy()[some]) for k in ("k1", "k2")), pa.array(node[some]), pa.array(links[some]), pa.array(node[root[some]])], ["k1", "k2", "node", "links", "root"])
+        released()
 
     return blocks.select("cluster", "a", "b", "chunk", "doc_id", "k1", "k2", "copies", "signature", "grams").mapInArrow(run, "k1 long, k2 long, node long, links long, root long")
 

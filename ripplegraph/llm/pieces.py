@@ -37,7 +37,7 @@ class PieceEncoder:
     most_pieces and most_chars bound the worker's memory: a full store is emptied and filled again.
     """
 
-    def __init__(self, path: str, keep_space: bool, most_pieces: int = 600_000, most_chars: int = 16 << 20):
+    def __init__(self, path: str, keep_space: bool, most_pieces: int = 500_000, most_chars: int = 16 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
