@@ -10,6 +10,8 @@ from . import bpe, embedding_dedup, html_text, language, licenses, ngram_join, p
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: For the given tables only, which hold invented persons; a real corpus needs a secret one.
+TEST_KEY = "public key for invented data"
 
 
 def tokenizer(name: str) -> str:
@@ -49,7 +51,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return surrogates.replaced(docs)
+    return surrogates.replaced(docs, TEST_KEY)
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

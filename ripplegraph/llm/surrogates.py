@@ -1,7 +1,7 @@
 r"""Personal data and secrets replaced by surrogates, with Spark SQL functions only.
 
-Detected: e-mail addresses, telephone numbers, payment card numbers (with a valid check digit), IPv4 addresses, US social
-security numbers, cloud access keys, values assigned to names such as password or token, and persons after an honorific.
+Detected: e-mail addresses, telephone numbers, payment card numbers (of an issuer's range, with a valid check digit), bank
+account numbers (IBAN, with valid check digits), IPv4 addresses, US social security numbers, cloud access keys, values assigned to names such as password or token, and persons after an honorific.
 A value is of any length and ends before white space or one of "'<>,;=; a quoted one at its quote, on one line. A person is all
 capitalised words after the honorific, with initials, titles, particles (van, de), inner capitals, hyphens and apostrophes.
 
@@ -9,14 +9,18 @@ Surrogates depend on a key and the entity's normalised value alone, so equal ent
 - numbers go through a keyed permutation of the digit strings of their length (a Feistel network on decimal halves), which
   keeps distinct numbers distinct. Punctuation, country prefix and card brand digit stay; check digits are made anew;
   addresses are permuted as 32 bits.
-- addresses of mail, keys, secrets and names are rewritten character by character in their own class (lower, upper, digit,
-  hexadecimal, Greek, Cyrillic) from a keyed digest; names keep their honorific and end as the honorific's gender has it;
-  mail domains end in .example.
+- addresses of mail, keys, secrets, bank accounts and names are rewritten character by character in their own class (lower,
+  upper, digit, hexadecimal, Greek, Cyrillic; in names also vowel or consonant, so that they can be spoken) from a keyed
+  digest; names keep their honorific and end as the honorific's gender has it; mail domains end in .example; bank accounts
+  keep their country and get new check digits.
 Collisions: a check over all entities of all texts finds values whose surrogates coincide; all but the smallest of them get
 the next attempt, until none coincide. These overrides reach their texts by joins. Usually there are none, and no text moves.
 
 Null text stays null, with 0 entities; texts without entities stay as they are, byte for byte. Repeated rows are treated
-alike. Columns of docs other than the text (and n_chars, which is made anew where it exists) pass unchanged.
+alike. Columns of docs other than the text (and n_chars, which is made anew where it exists) pass unchanged; columns named
+n_entities or entity_kinds give way to the results. An empty table gives no rows.
+
+The key is a secret: who has it can tell which numbers stand behind the surrogates. It has no default.
 """
 
 from __future__ import annotations
@@ -34,13 +38,15 @@ NAME = r"(?:(?:Dr|Prof|Ing|Dipl|St|Jr|Sr)\.|\p{Lu}\.(?:-?\p{Lu}\.)*+|\p{Lu}[\p{L
 PATTERNS = {
     "secret": SECRET,
     "key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
+    "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\w+])(?:\+?\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{4}(?!\d)|(?<![\w+.-])(?:\+?1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)",
-    "card": r"(?<![\d.])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
+    "card": r"(?<![\d.])(?=[2-6])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
     "person": r"\b(?:Mr|Mrs|Ms|Miss|Mister|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|Sra|Sr|Dona|Don|Госпожа|Господин|Κυρία|Κύριος)\.?(?: (?:" + UNSPELT + " )*+" + NAME + ")+",
 }
+ISSUER = r"^(?:4|5[0-8]|2(?:2[0-9][0-9]|[3-6][0-9][0-9]|7[01][0-9]|720)|3[0-9]|6[0-9])"
 FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Dona|Госпожа|Κυρία)\b"
 
 
@@ -50,10 +56,10 @@ def quoted(pattern: str) -> str:
 
 def guarded() -> str:
     """All patterns in their order, behind tests of a character or two that their matches pass: most places end there."""
-    first = {"secret": r"(?=[pPtTsSaA])", "key": "(?=A[KS]IA)", "email": "(?=[A-Za-z0-9._%+-])", "person": "(?=[MHFSDГΚ])"}
+    first = {"secret": r"(?=[pPtTsSaA])", "key": "(?=A[KS]IA)", "iban": r"(?=[A-Z][A-Z]\d)", "email": "(?=[A-Za-z0-9._%+-])", "person": "(?=[MHFSDГΚ])"}
     alone = {k: f"{first.get(k, '')}(?:{p})" for k, p in PATTERNS.items()}
     numbers = "|".join(alone.pop(k) for k in ("ip", "ssn", "phone", "card"))
-    return "|".join([*(alone[k] for k in ("secret", "key", "email")), f"(?=[0-9+(])(?:{numbers})", alone["person"]])
+    return "|".join([*(alone[k] for k in ("secret", "key", "iban", "email")), f"(?=[0-9+(])(?:{numbers})", alone["person"]])
 
 
 ANY = quoted(guarded())
@@ -78,12 +84,28 @@ def permuted(digits: str, salt: str) -> str:
     return f"transform(array({net}), p -> concat(if({half} = 0, '', lpad(cast(p.l as string), {half}, '0')), lpad(cast(p.r as string), {size} - {half}, '0')))[0]"
 
 
-def spelt(value: str, salt: str, hexadecimal: str) -> str:
+def mod97(text: str) -> str:
+    """The remainder of letters (A as 10) and digits read as one number."""
+    return f"aggregate(sequence(1, length({text})), 0, (s, j) -> if(substr({text}, j, 1) rlike '[0-9]', s * 10 + cast(substr({text}, j, 1) as int), s * 100 + ascii(substr({text}, j, 1)) - 55) % 97)"
+
+
+# Letters that surrogates of names are made of, by script: those that a letter stands for, those it is drawn from.
+SPOKEN = [("aeiouyäöüàâéèêëîïôûùáíóúñæœ", "aeiou"), ("bcdfghjklmnpqrstvwxzßç", "bdfgklmnprstvz"), ("аеёиоуыэюяй", "аеиоу"), ("бвгджзклмнпрстфхцчшщъь", "бвгдзклмнпрст"), ("αεηιουωάέήίόύώϊϋΐΰ", "αειου"), ("βγδζθκλμνξπρσςτφχψ", "βγδκλμνπρστ")]
+
+
+def spoken(char: str, byte: str) -> str:
+    cases = ""
+    for of, out in SPOKEN:
+        cases += f" when instr('{of}', {char}) > 0 then substr('{out}', 1 + {byte} % {len(out)}, 1) when instr('{of}', lower({char})) > 0 then upper(substr('{out}', 1 + {byte} % {len(out)}, 1))"
+    return cases
+
+
+def spelt(value: str, salt: str, hexadecimal: str, name: bool = False) -> str:
     """value with each letter and digit drawn anew within its class, from digests of 32 characters' worth."""
     byte = f"cast(conv(substr(b[cast(floor((j - 1) / 32) as int)], 1 + 2 * ((j - 1) % 32), 2), 16, 10) as int)"
     char = f"substr({value}, j, 1)"
     new = (
-        f"case when {hexadecimal} then substr('0123456789abcdef', 1 + {byte} % 16, 1) when {char} rlike '[a-z]' then char(97 + {byte} % 26) when {char} rlike '[A-Z]' then char(65 + {byte} % 26)"
+        f"case {spoken(char, byte) if name else ''} when {hexadecimal} then substr('0123456789abcdef', 1 + {byte} % 16, 1) when {char} rlike '[a-z]' then char(97 + {byte} % 26) when {char} rlike '[A-Z]' then char(65 + {byte} % 26)"
         f" when {char} rlike '[0-9]' then char(48 + {byte} % 10) when {char} rlike '[а-я]' then substr('абвгдежзиклмнопрстуфхцчшэюя', 1 + {byte} % 27, 1) when {char} rlike '[А-Я]' then substr('АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ', 1 + {byte} % 27, 1)"
         f" when {char} rlike '[α-ωά-ώ]' then substr('αβγδεζηθικλμνξοπρστυφχψω', 1 + {byte} % 24, 1) when {char} rlike '[Α-Ω]' then substr('ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ', 1 + {byte} % 24, 1)"
         f" when {char} rlike '\\\\p{{Lu}}' then char(65 + {byte} % 26) when {char} rlike '\\\\p{{L}}' then char(97 + {byte} % 26) else {char} end"
@@ -95,13 +117,15 @@ def spelt(value: str, salt: str, hexadecimal: str) -> str:
 def kind_of(m: str) -> str:
     digits = f"regexp_replace({m}, '[^0-9]', '')"
     luhn = f"{check_digit(f'substr({digits}, 1, length({digits}) - 1)')} = substr({digits}, -1)"
+    bare = f"replace({m}, ' ', '')"
+    account = f"length({bare}) between 15 and 34 and {mod97(f'concat(substr({bare}, 5), substr({bare}, 1, 4))')} = 1"
     whole = lambda k: f"{m} rlike {quoted('^(?:' + PATTERNS[k] + ')$')}"
-    return f"case when {whole('person')} then 'person' when {whole('email')} then 'email' when {whole('key')} then 'key' when {whole('ip')} then 'ip' when {whole('ssn')} then 'ssn' when {whole('card')} then if({luhn}, 'card', null) when {whole('phone')} then 'phone' else 'secret' end"
+    return f"case when {whole('person')} then 'person' when {whole('email')} then 'email' when {whole('key')} then 'key' when {whole('iban')} then if({account}, 'iban', null) when {whole('ip')} then 'ip' when {whole('ssn')} then 'ssn' when {whole('card')} then if({luhn} and {digits} rlike '{ISSUER}', 'card', null) when {whole('phone')} then 'phone' else 'secret' end"
 
 
 def value_of(kind: str, m: str) -> str:
     """What coreferent mentions share."""
-    return f"""case {kind} when 'email' then lower({m}) when 'person' then regexp_replace({m}, '^\\\\S+ ', '') when 'secret' then {m} when 'key' then {m} when 'ip' then {m}
+    return f"""case {kind} when 'email' then lower({m}) when 'person' then regexp_replace({m}, '^\\\\S+ ', '') when 'secret' then {m} when 'key' then {m} when 'ip' then {m} when 'iban' then replace({m}, ' ', '')
         when 'phone' then regexp_replace(regexp_replace({m}, r'^\\+\\d{{1,3}}(?=[ .(-])', ''), '[^0-9]', '') else regexp_replace({m}, '[^0-9]', '') end"""
 
 
@@ -119,9 +143,12 @@ def surrogate_of(kind: str, m: str, value: str, salt: str) -> str:
     given = f"if({m} rlike {quoted(FEMALE)}, case when {value} rlike '[а-яА-Я]' then 'а' when {value} rlike '[α-ωΑ-Ω]' then 'α' else 'a' end, case when {value} rlike '[а-яА-Я]' then 'н' when {value} rlike '[α-ωΑ-Ω]' then 'ς' else 'o' end)"
     parts = f"split({value}, ' ')"
     spelling = f"if(length({value}) < 3, concat({value}, 'xxxx'), w)"  # so short values have room to stay distinct
-    name = f"array_join(transform({parts}, (w, at) -> if(w rlike {quoted('^' + UNSPELT + '$')}, w, if(at + 1 < size({parts}) and length(w) > 1 and not endswith(w, '.'), concat(substr({spelt('w', salt, 'false')}, 1, length(w) - 1), {given}), {spelt(spelling, salt, 'false')}))), ' ')"
+    name = f"array_join(transform({parts}, (w, at) -> if(w rlike {quoted('^' + UNSPELT + '$')}, w, if(at + 1 < size({parts}) and length(w) > 1 and not endswith(w, '.'), concat(substr({spelt('w', salt, 'false', True)}, 1, length(w) - 1), {given}), {spelt(spelling, salt, 'false', True)}))), ' ')"
     secret = spelt(f"if(length({value}) < 6, concat({value}, repeat('x', 6 - length({value}))), {value})", f"{salt}, {value}", f"{value} rlike '^[0-9a-f]{{8,}}$'")
-    return f"""case {kind} when 'email' then {email} when 'ip' then {ip} when 'card' then {card} when 'phone' then {phone} when 'ssn' then {over(permuted(value, salt), m)}
+    inner = spelt(f"substr({value}, 5)", f"{salt}, {value}", "false")
+    account = f"transform(array({inner}), b -> concat(substr({value}, 1, 2), lpad(cast(98 - {mod97(f"concat(b, substr({value}, 1, 2), '00')")} as string), 2, '0'), b))[0]"
+    iban = f"transform(array({account}), n -> array_join(transform(sequence(1, length({m})), j -> if(substr({m}, j, 1) = ' ', ' ', substr(n, length(replace(substr({m}, 1, j), ' ', '')), 1))), ''))[0]"
+    return f"""case {kind} when 'email' then {email} when 'iban' then {iban} when 'ip' then {ip} when 'card' then {card} when 'phone' then {phone} when 'ssn' then {over(permuted(value, salt), m)}
         when 'key' then concat(substr({m}, 1, 4), {spelt(f'substr({value}, 5)', f'{salt}, {value}', 'false')}) when 'person' then concat(regexp_extract({m}, '^\\\\S+ ', 0), {name}) else {secret} end"""
 
 
@@ -146,7 +173,7 @@ def overrides(docs: DataFrame, key: str, text_column: str, most_attempts: int =
 
     Permuted numbers can't coincide and aren't checked. Only distinct entities are shuffled.
     """
-    found = docs.select(F.expr(f"inline({hits(f'`{text_column}`')})")).where("kind in ('email', 'person', 'secret', 'key')")
+    found = docs.select(F.expr(f"inline({hits(f'`{text_column}`')})")).where("kind in ('email', 'person', 'secret', 'key', 'iban')")
     now = written(found.groupBy("kind", "value").agg(F.min("m").alias("m")).withColumn("attempt", F.lit(0)))
     for attempt in range(1, most_attempts + 1):
         named = now.withColumn("h", F.struct("m", "kind", "value"))
@@ -161,8 +188,9 @@ def overrides(docs: DataFrame, key: str, text_column: str, most_attempts: int =
     raise RuntimeError(f"surrogates coincide after {most_attempts} attempts")
 
 
-def replaced(docs: DataFrame, key: str = "ripplegraph", text_column: str = "text") -> DataFrame:
+def replaced(docs: DataFrame, key: str, text_column: str = "text") -> DataFrame:
     """docs with surrogates in its text, and two columns more: n_entities, and entity_kinds (sorted, comma-joined)."""
+    docs = docs.drop("n_entities", "entity_kinds")
     again = overrides(docs.select(text_column), key, text_column)
     text = f"`{text_column}`"
     new, attempt = docs, "0"
