@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ripplegraph.llm import language, ngram_join, packing, surrogates
 from ripplegraph.llm.common import delete, folders, written
-from ripplegraph.llm.queries import tokenizer
+from ripplegraph.llm.queries import TEST_KEY, tokenizer
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,9 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with surrogates in place of personal data."""
-    return surrogates.replaced(docs).select(*docs.columns)
+    """All documents, with surrogates in place of personal data; the setting spark.ripplegraph.surrogates.key holds the key."""
+    key = spark.conf.get("spark.ripplegraph.surrogates.key", TEST_KEY)
+    return surrogates.replaced(docs, key).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
