@@ -11,6 +11,7 @@ STOPWORDS = (
     "of on or our shall should so such than that the their them then there these they this those to was we were what when "
     "where which while who why will with would you your"
 )
+# What ends a line, and what a heading is.
 LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 HEADING = r"^(#{1,6})(?U:\s+)(.*?)(?U:\s*)#*(?U:\s*)$"
 
@@ -53,3 +54,14 @@ def chunks(docs: DataFrame) -> DataFrame:
         F.expr("if(h is null, cast(array() as array<string>), transform(stack, x -> x.text))").alias("heading_path"),
         "body", "line_start", "line_end",
     )
+
+
+def described(sections: DataFrame) -> DataFrame:
+    """sections with breadcrumb, indexable text, citation, is_empty and is_document_title."""
+    return sections.withColumns({
+        "breadcrumb": F.when(F.size("heading_path") == 0, F.col("source")).otherwise(F.array_join("heading_path", " > ")),
+        "indexable": F.trim(F.concat_ws("\n", F.array_join("heading_path", "\n"), "body"), F.lit(" \n\t")),
+        "citation": F.format_string("%s, lines %d-%d", "source", "line_start", "line_end"),
+        "is_empty": F.col("body") == "",
+        "is_document_title": F.size("heading_path") <= 1,
+    })

@@ -1,17 +1,56 @@
-"""Questions to a dependency graph. Each answers for all ids at once: filter by the first column for one of them.
+"""Questions to a dependency graph. Each answers for all ids at once; those that follow dependencies take a root to start from.
 
-Names: root is the application asked about (to be retired, or depended upon), id what is found, path the relationships
-that prove it, in reading order.
+Rows are findings: root is the application (or capability, data object) asked about, id what is found, depth the number of
+dependencies between them (null where none counts), path the relationships that prove it, in reading order, explanation a
+sentence. `named` adds name, kind and attributes, `shown` writes paths as text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import tempfile
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.model import Graph
 
-EDGE_TEXT = "concat(src, ' -', type, '-> ', dst)"
+VERBS = {"SUPPORTS": "supports", "OWNS": "owns", "CONSUMES": "consumes", "DEPENDS_ON": "depends on", "RUNS_ON": "runs on"}
+NONE = "no relationship path"
+FINDING = ["root", "id", "depth", "path", "explanation"]
+REACHED = "root string, id string, longer boolean, depth int, nodes array<string>"
+
+
+def edge() -> Column:
+    return F.struct(F.col("src").alias("from"), F.col("type"), F.col("dst").alias("to"))
+
+
+def text_of(path: str) -> Column:
+    return F.array_join(F.transform(path, lambda e: F.concat(e["from"], F.lit(" -"), e["type"], F.lit("-> "), e["to"])), " ; ")
+
+
+def shown(rows: DataFrame) -> DataFrame:
+    """rows with paths as text, empty where there is none."""
+    return rows.withColumn("path", text_of("path"))
+
+
+def named(g: Graph, rows: DataFrame) -> DataFrame:
+    """rows with name, kind and attributes of what is found."""
+    return rows.join(g.elements.select("id", "name", "kind", "attributes"), "id", "left")
+
+
+def rendered(rows: DataFrame) -> DataFrame:
+    """(root, id, line): a named finding as text, with its sentence and its path."""
+    path = F.when(F.size("path") == 0, NONE).otherwise(text_of("path"))
+    return rows.select("root", "id", F.format_string("%s (%s): %s [%s]", "id", F.coalesce("name", "id"), "explanation", path).alias("line"))
+
+
+def as_json(rows: DataFrame) -> DataFrame:
+    """(root, id, json): a named finding as a JSON object; no depth where it is null, edges as from, type, to."""
+    fields = [c for c in ("id", "name", "kind", "explanation", "path", "depth") if c in rows.columns]
+    return rows.select("root", "id", F.to_json(F.struct(*fields)).alias("json"))
 
 
 def degree(g: Graph) -> DataFrame:
@@ -35,125 +74,253 @@ def find(g: Graph, query: str, kind: str | None = None) -> DataFrame:
     return rows.where(F.lower("name").contains(q) | (F.lower("id") == q)).select("id", "kind", "name", "attributes", "kind_ord")
 
 
+def hop(g: Graph, kind: str, root: str, other: str) -> DataFrame:
+    depth = F.lit(1 if kind == "DEPENDS_ON" else None).cast("int")
+    sentence = F.concat_ws(" ", "src", F.lit(VERBS[kind]), "dst")
+    return g.of_type(kind).select(F.col(root).alias("root"), F.col(other).alias("id"), depth.alias("depth"), F.array(edge()).alias("path"), sentence.alias("explanation"))
+
+
 def inbound(g: Graph, kind: str) -> DataFrame:
-    """(root, id, path): sources of a relationship, by target."""
-    return g.of_type(kind).select(F.col("dst").alias("root"), F.col("src").alias("id"), F.expr(EDGE_TEXT).alias("path"))
+    """Sources of a relationship, by target."""
+    return hop(g, kind, "dst", "src")
 
 
 def outbound(g: Graph, kind: str) -> DataFrame:
-    """(root, id, path): targets of a relationship, by source."""
-    return g.of_type(kind).select(F.col("src").alias("root"), F.col("dst").alias("id"), F.expr(EDGE_TEXT).alias("path"))
+    """Targets of a relationship, by source."""
+    return hop(g, kind, "src", "dst")
 
 
 def consumers_without_ownership(g: Graph) -> DataFrame:
-    """(root, id, path, owners) by data object: who consumes it and does not own it, and its owners."""
+    """By data object: who consumes it and does not own it; with its owners."""
     owns = g.of_type("OWNS").select("src", "dst")
     owners = owns.groupBy("dst").agg(F.array_join(F.sort_array(F.collect_set("src")), ", ").alias("owners"))
     rest = g.of_type("CONSUMES").join(owns, ["src", "dst"], "left_anti").join(owners, "dst", "left")
-    return rest.select(F.col("dst").alias("root"), F.col("src").alias("id"), F.expr(EDGE_TEXT).alias("path"), F.coalesce("owners", F.lit("none recorded")).alias("owners"))
+    rest = rest.withColumn("owners", F.coalesce("owners", F.lit("none recorded")))
+    sentence = F.format_string("%s consumes %s without owning it (owners: %s)", "src", "dst", "owners")
+    return rest.select(F.col("dst").alias("root"), F.col("src").alias("id"), F.lit(None).cast("int").alias("depth"), F.array(edge()).alias("path"), sentence.alias("explanation"), "owners")
+
 
+def steps(g: Graph) -> DataFrame:
+    return g.of_type("DEPENDS_ON").where("src <> dst").select("src", "dst", "ord")
 
-def dependency_paths(g: Graph) -> DataFrame:
-    """(root, id, depth, ords, nodes): every simple path of dependencies, nodes from the root outward; cycles end.
 
-    Paths can be exponential in a dense graph; Spark's limits of rows and levels of a recursion are lifted, so the answer is whole.
+def dependency_paths(g: Graph, root: str | None = None) -> DataFrame:
+    """(root, id, depth, ords, nodes): every simple path of dependencies to root (None: to any), nodes from the root outward; cycles end.
+
+    There can be exponentially many in a dense graph: for those who want them all. Shortest paths come from `reached`.
     """
-    spark = g.edges.sparkSession
-    for limit in ("Level", "Row"):
-        spark.conf.set(f"spark.sql.cteRecursion{limit}Limit", "-1")
-    steps = g.of_type("DEPENDS_ON").where("src <> dst").select("src", "dst", "ord")
-    return spark.sql(
-        """WITH RECURSIVE found(root, id, depth, ords, nodes) AS (
-            SELECT dst, src, 1, array(ord), array(src) FROM {steps}
+    edges = steps(g)
+    first = edges if root is None else edges.where(F.col("dst") == root)
+    return g.edges.sparkSession.sql(
+        """WITH RECURSIVE found(root, id, depth, ords, nodes) MAX RECURSION LEVEL 2147483647 AS (
+            SELECT dst, src, 1, array(ord), array(src) FROM {first}
             UNION ALL
             SELECT f.root, s.src, f.depth + 1, f.ords || array(s.ord), f.nodes || array(s.src)
-            FROM found f JOIN {steps} s ON s.dst = f.id WHERE s.src <> f.root AND NOT array_contains(f.nodes, s.src)
-        ) SELECT * FROM found""",
-        steps=steps,
-    )
-
-
-def first_paths(paths: DataFrame) -> DataFrame:
-    """(root, id, depth, path, via): each dependent's shortest path; ties by the order of relationships, nearest the root first."""
-    best = paths.groupBy("root", "id").agg(F.min(F.struct("depth", "ords", "nodes")).alias("b")).select("root", "id", "b.*")
-    chain = F.concat(F.reverse("nodes"), F.array("root"))
-    return best.withColumn("chain", chain).select(
-        "root", "id", "depth",
-        F.expr("array_join(transform(sequence(1, depth), i -> concat(chain[i - 1], ' -DEPENDS_ON-> ', chain[i])), ' ; ')").alias("path"),
-        F.expr("array_join(slice(chain, 2, depth - 1), ' -> ')").alias("via"),
-    )
-
-
-def transitive_dependents(g: Graph) -> DataFrame:
-    return first_paths(dependency_paths(g)).select("root", "id", "depth", "path")
+            FROM found f JOIN {edges} s ON s.dst = f.id WHERE s.src <> f.root AND NOT array_contains(f.nodes, s.src)
+        ) SELECT * FROM found LIMIT ALL""",
+        first=first, edges=edges,
+    )
+
+
+def searched(dependents: dict[str, list[str]], root: str, without: str | None = None) -> dict[str, str | None]:
+    """Each dependent's next node towards root, breadth first; without: its direct dependency is left out, and reaching it ends the search."""
+    towards: dict[str, str | None] = {root: None}
+    queue = [root]
+    for node in queue:
+        for src in dependents.get(node, ()):
+            if src not in towards and not (node == root and src == without):
+                towards[src] = node
+                if src == without:
+                    return towards
+                queue.append(src)
+    return towards
+
+
+def reached(g: Graph, root: str | None = None, most_edges: int = 1_000_000) -> DataFrame:
+    """(root, id, longer, depth, nodes): each dependent's shortest path, and with longer its shortest of two steps at least.
+
+    Paths tie by the order of relationships, the one nearest the root first. nodes run from the root, left out, to the
+    dependent. A longer path of a direct dependent is the shortest without its direct dependency; it is simple, as any
+    shortest path is. So no paths are enumerated, however dense the graph.
+
+    Up to most_edges dependencies go to the tasks, which search breadth first, each for some roots; beyond that all
+    roots are searched at once, a level at a time, by joins.
+    """
+    edges = steps(g)
+    roots = edges.select(F.col("dst").alias("root")).distinct()
+    roots = roots if root is None else roots.where(F.col("root") == root)
+    few = edges.limit(most_edges + 1).toArrow()
+    if few.num_rows > most_edges:
+        return by_levels(edges, roots)
+    dependents: dict[str, list[str]] = {}
+    for src, dst, _ in sorted(zip(*(c.to_pylist() for c in few.columns), strict=True), key=lambda e: (e[2], e[0])):
+        dependents.setdefault(dst, []).append(src)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def path(towards: dict, node: str) -> list[str]:
+            nodes = []
+            while towards[node] is not None:
+                nodes.append(node)
+                node = towards[node]
+            return nodes[::-1]
+
+        for batch in batches:
+            for root in batch.column(0).to_pylist():
+                rows, towards = [], searched(dependents, root)
+                for node in towards:
+                    if node != root:
+                        nodes = path(towards, node)
+                        rows.append((root, node, False, len(nodes), nodes))
+                        other = towards if len(nodes) > 1 else searched(dependents, root, node)
+                        if node in other:
+                            nodes = path(other, node)
+                            rows.append((root, node, True, len(nodes), nodes))
+                types = [pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.list_(pa.string())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)], ["root", "id", "longer", "depth", "nodes"])
+
+    return roots.mapInArrow(run, REACHED)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, written to the folder in spark.checkpoint.dir; lineage ends here."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ripplegraph-"))
+    return df.checkpoint()
+
+
+def by_levels(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """`reached` by joins, one round for each level. A search is a root, or a root and the direct dependent it does without."""
+    direct = edges.join(roots, edges["dst"] == roots["root"], "left_semi").select(F.col("dst").alias("root"), F.col("src").alias("without"))
+    now = roots.withColumn("without", F.lit("")).union(direct).selectExpr("root", "without", "root as id", "cast(array() as array<bigint>) as ords", "cast(array() as array<string>) as nodes")
+    seen = now = settled(now)
+    while not now.isEmpty():
+        near = now.join(edges, now["id"] == edges["dst"]).where("src <> root and not (id = root and src = without)")
+        best = near.groupBy("root", "without", F.col("src").alias("id")).agg(F.min(F.struct(F.expr("ords || array(ord)").alias("ords"), F.expr("nodes || array(src)").alias("nodes"))).alias("b"))
+        now = settled(best.select("root", "without", "id", "b.*").join(seen, ["root", "without", "id"], "left_anti"))
+        seen = seen.union(now)
+    found = seen.where("id <> root").withColumn("depth", F.size("nodes"))
+    first = found.where("without = ''")
+    longer = first.where("depth > 1").union(found.where("id = without"))
+    return first.withColumn("longer", F.lit(False)).union(longer.withColumn("longer", F.lit(True))).select("root", "id", "longer", "depth", "nodes")
+
+
+def dependents(paths: DataFrame, longer: bool) -> DataFrame:
+    """Findings from rows of `reached`, with via, what lies between."""
+    rows = paths.where(F.col("longer") if longer else ~F.col("longer")).withColumn("chain", F.concat(F.reverse("nodes"), F.array("root")))
+    path = F.expr("transform(sequence(1, depth), i -> named_struct('from', chain[i - 1], 'type', 'DEPENDS_ON', 'to', chain[i]))")
+    via = F.expr("array_join(slice(chain, 2, depth - 1), ' -> ')")
+    sentence = F.concat_ws(" ", "id", F.lit("depends on"), "root", F.concat(F.lit("through "), F.col("via"))) if longer else F.concat_ws(" ", "id", F.lit("depends on"), "root", hops("depth"))
+    return rows.withColumns({"path": path, "via": via}).select("root", "id", "depth", "path", sentence.alias("explanation"), "via")
+
+
+def hops(depth: str) -> Column:
+    return F.concat(F.lit("in "), F.col(depth), F.when(F.col(depth) == 1, " hop").otherwise(" hops"))
+
+
+def transitive_dependents(g: Graph, root: str | None = None) -> DataFrame:
+    return dependents(reached(g, root), False).select(FINDING)
+
+
+def indirect_dependents(g: Graph, root: str | None = None) -> DataFrame:
+    """Dependents through another application; some are direct dependents as well."""
+    return dependents(reached(g, root), True)
 
 
-def indirect_dependents(g: Graph) -> DataFrame:
-    """Dependents through another application; some are direct dependents as well."""
-    return first_paths(dependency_paths(g).where("depth >= 2"))
+def dependent_lines(g: Graph, root: str | None = None) -> DataFrame:
+    """(root, id, label, routes): one row for each direct or indirect dependent, its direct route first."""
+    direct = inbound(g, "DEPENDS_ON").select("root", "id", F.lit(0).alias("nth"), F.lit("direct").alias("label"), text_of("path").alias("route"))
+    direct = direct if root is None else direct.where(F.col("root") == root)
+    longer = indirect_dependents(g, root).select("root", "id", F.lit(1).alias("nth"), F.lit("indirect").alias("label"), text_of("path").alias("route"))
+    both = direct.union(longer).groupBy("root", "id").agg(F.sort_array(F.collect_list(F.struct("nth", "label", "route"))).alias("r"))
+    return both.select("root", "id", F.array_join("r.label", " and ").alias("label"), F.array_join("r.route", " | ").alias("routes"))
 
 
 def only_source(g: Graph, kind: str) -> DataFrame:
-    """(root, id, path): targets that only root relates to by this type, so that they are lost without it."""
+    """Targets that only root relates to by this type, so that they are lost without it."""
     edges = g.of_type(kind)
     alone = edges.groupBy("dst").agg(F.count("*").alias("n"), F.first("src").alias("src"), F.first("type").alias("type")).where("n = 1")
-    return alone.select(F.col("src").alias("root"), F.col("dst").alias("id"), F.expr(EDGE_TEXT).alias("path"))
+    sentence = F.concat_ws(" ", F.lit("only"), "src", F.lit(VERBS[kind]), "dst")
+    if kind == "RUNS_ON":
+        sentence = F.concat_ws(" ", F.lit("nothing but"), "src", F.lit("runs on"), "dst")
+    return alone.select(F.col("src").alias("root"), F.col("dst").alias("id"), F.lit(None).cast("int").alias("depth"), F.array(edge()).alias("path"), sentence.alias("explanation"))
 
 
-def affected(g: Graph) -> DataFrame:
-    """(root, id, depth, path): each application itself (depth 0, empty path) and its dependents."""
-    own = g.of_kind("application").select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"), F.lit("").alias("path"))
-    return own.union(transitive_dependents(g))
+def affected(g: Graph, paths: DataFrame, root: str | None = None) -> DataFrame:
+    """(root, id, depth, path): each application itself (depth 0, empty path) and its dependents, from rows of `reached`."""
+    found = dependents(paths, False).select("root", "id", "depth", "path")
+    own = g.of_kind("application").select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"), F.array().cast(found.schema["path"].dataType).alias("path"))
+    return (own if root is None else own.where(F.col("id") == root)).union(found)
 
 
-def degraded(g: Graph) -> DataFrame:
-    """(root, id, via, depth, path): capabilities that an affected application supports and that are not lost; first by its id."""
-    supports = g.of_type("SUPPORTS").select(F.col("src").alias("via"), F.col("dst").alias("capability"), F.expr(EDGE_TEXT).alias("last"))
-    reached = affected(g).withColumnRenamed("id", "via").join(supports, "via")
+def degraded(g: Graph, root: str | None = None, paths: DataFrame | None = None) -> DataFrame:
+    """Capabilities that an affected application (via) supports and that are not lost; the first by its id."""
+    supports = g.of_type("SUPPORTS").select(F.col("src").alias("via"), F.col("dst").alias("capability"), edge().alias("last"))
+    touched = affected(g, reached(g, root) if paths is None else paths, root).withColumnRenamed("id", "via").join(supports, "via")
     lost = only_source(g, "SUPPORTS").select("root", F.col("id").alias("capability"))
-    first = reached.groupBy("root", "capability").agg(F.min(F.struct("via", "depth", "path", "last")).alias("f")).select("root", "capability", "f.*")
+    first = touched.groupBy("root", "capability").agg(F.min(F.struct("via", "depth", "path", "last")).alias("f")).select("root", "capability", "f.*")
     kept = first.join(lost, ["root", "capability"], "left_anti")
-    return kept.select("root", F.col("capability").alias("id"), "via", "depth", F.expr("concat_ws(' ; ', nullif(path, ''), last)").alias("path"))
+    sentence = F.when(F.col("depth") == 0, F.concat_ws(" ", "capability", F.lit("keeps other support than that of"), "root")).otherwise(
+        F.concat_ws(" ", "capability", F.lit("is supported by"), "via", F.lit("which depends on"), "root", hops("depth"))
+    )
+    return kept.select("root", F.col("capability").alias("id"), "depth", F.concat("path", F.array("last")).alias("path"), sentence.alias("explanation"), "via")
 
 
-def unaffected(g: Graph, root: str) -> DataFrame:
-    """(root, id, supporters, path) for one application: capabilities that no affected application supports."""
-    touched = affected(g).where(F.col("root") == root).select(F.col("id").alias("src"))
+def unaffected(g: Graph, root: str, paths: DataFrame | None = None) -> DataFrame:
+    """For one application: capabilities that no affected application supports, with their supporters."""
+    touched = affected(g, reached(g, root) if paths is None else paths, root).select(F.col("id").alias("src"))
     supports = g.of_type("SUPPORTS")
     hit = supports.join(touched, "src", "left_semi").select(F.col("dst").alias("id"))
-    each = supports.groupBy(F.col("dst").alias("id")).agg(
+    each = supports.withColumn("edge", edge()).groupBy(F.col("dst").alias("id")).agg(
         F.array_join(F.sort_array(F.collect_set("src")), ", ").alias("supporters"),
-        F.expr(f"array_join(transform(array_sort(collect_list(struct(ord, src, {EDGE_TEXT} as t))), e -> e.t), ' ; ')").alias("path"),
+        F.expr("transform(array_sort(collect_list(struct(ord, src, edge))), e -> e.edge)").alias("path"),
     )
     rest = g.of_kind("capability").select("id").join(hit, "id", "left_anti").join(each, "id", "left")
-    return rest.select(F.lit(root).alias("root"), "id", F.coalesce("supporters", F.lit("no application")).alias("supporters"), F.coalesce("path", F.lit("")).alias("path"))
-
-
-def impact(g: Graph) -> DataFrame:
-    """(root, section, id, depth, path): what retiring each application does, as one long table; unaffected capabilities aside."""
-    nothing = F.lit(None).cast("int")
-    sections = [
-        ("direct dependents", inbound(g, "DEPENDS_ON").withColumn("depth", F.lit(1))),
-        ("indirect dependents", indirect_dependents(g)),
-        ("transitive dependents", transitive_dependents(g)),
-        ("orphaned data", only_source(g, "OWNS").withColumn("depth", nothing)),
-        ("consumed data", outbound(g, "CONSUMES").withColumn("depth", nothing)),
-        ("capabilities lost", only_source(g, "SUPPORTS").withColumn("depth", nothing)),
-        ("capabilities degraded", degraded(g)),
-        ("orphaned technologies", only_source(g, "RUNS_ON").withColumn("depth", nothing)),
-    ]
+    rest = rest.withColumns({"supporters": F.coalesce("supporters", F.lit("no application")), "path": F.coalesce("path", F.array().cast(each.schema["path"].dataType))})
+    sentence = F.concat_ws(" ", "id", F.lit("is supported by"), F.concat("supporters", F.lit(", not affected")))
+    return rest.select(F.lit(root).alias("root"), "id", F.lit(None).cast("int").alias("depth"), "path", sentence.alias("explanation"), "supporters")
+
+
+SECTIONS = ["direct dependents", "indirect dependents", "transitive dependents", "orphaned data", "consumed data", "capabilities lost", "capabilities degraded", "capabilities unaffected", "orphaned technologies"]
+
+
+def impact(g: Graph, root: str) -> DataFrame:
+    """The nine sections of retiring one application as one long table of named findings, with section and section_ord.
+
+    Dependencies are searched once.
+    """
+    paths = reached(g, root).persist(StorageLevel.MEMORY_AND_DISK)
+    unharmed = F.concat_ws(" ", "root", F.lit("consumes"), F.concat("id", F.lit(", which stays")))
+    rows = [
+        inbound(g, "DEPENDS_ON"), dependents(paths, True), dependents(paths, False), only_source(g, "OWNS"), outbound(g, "CONSUMES").withColumn("explanation", unharmed),
+        only_source(g, "SUPPORTS"), degraded(g, root, paths), unaffected(g, root, paths), only_source(g, "RUNS_ON"),
+    ]
     every = None
-    for name, rows in sections:
-        rows = rows.select("root", F.lit(name).alias("section"), "id", F.col("depth").cast("int").alias("depth"), "path")
-        every = rows if every is None else every.union(rows)
-    return every
+    for i, (name, found) in enumerate(zip(SECTIONS, rows, strict=True)):
+        found = found.where(F.col("root") == root).select(F.lit(name).alias("section"), F.lit(i).alias("section_ord"), *FINDING)
+        every = found if every is None else every.union(found)
+    return named(g, every)
 
 
 def impact_summary(g: Graph) -> DataFrame:
-    """One row for each application: how many of everything impact() lists, and how many capabilities stay unaffected."""
-    names = {"direct dependents": "n_direct", "indirect dependents": "n_indirect", "transitive dependents": "n_transitive", "orphaned data": "n_orphaned_data", "consumed data": "n_consumed_data", "capabilities lost": "n_lost", "capabilities degraded": "n_degraded", "orphaned technologies": "n_orphaned_technologies"}
-    counts = impact(g).groupBy("root").agg(*[F.count_if(F.col("section") == s).alias(c) for s, c in names.items()])
-    capabilities = F.lit(g.of_kind("capability").count())
-    rows = g.of_kind("application").select(F.col("id").alias("root")).join(counts, "root", "left")
-    filled = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in names.values()]
-    return rows.select("root", *filled, (capabilities - F.coalesce("n_lost", F.lit(0)) - F.coalesce("n_degraded", F.lit(0))).cast("long").alias("n_unaffected"))
+    """One row for each application: how many of everything retiring it does. Dependencies are searched once, edges read from a cache."""
+    edges = g.edges.persist(StorageLevel.MEMORY_AND_DISK)
+    g = Graph(g.elements, edges)
+    paths = reached(g).persist(StorageLevel.MEMORY_AND_DISK)
+    alone = edges.where("type in ('OWNS', 'SUPPORTS', 'RUNS_ON')").groupBy("type", "dst").agg(F.count("*").alias("n"), F.first("src").alias("root")).where("n = 1")
+    own = edges.where("type = 'SUPPORTS'").select(F.col("src").alias("id"), "dst")
+    touched = paths.where("not longer").select("root", "id").join(own, "id").select("root", "dst").union(own).distinct()
+    names = ["n_direct", "n_indirect", "n_transitive", "n_orphaned_data", "n_consumed_data", "n_lost", "n_touched", "n_orphaned_technologies"]
+    counted = [
+        edges.where("type = 'CONSUMES' or type = 'DEPENDS_ON' and src <> dst").selectExpr("if(type = 'CONSUMES', src, dst) as root", "if(type = 'CONSUMES', 'n_consumed_data', 'n_direct') as what"),
+        paths.selectExpr("root", "if(longer, 'n_indirect', 'n_transitive') as what"),
+        alone.selectExpr("root", "case type when 'OWNS' then 'n_orphaned_data' when 'SUPPORTS' then 'n_lost' else 'n_orphaned_technologies' end as what"),
+        touched.selectExpr("root", "'n_touched' as what"),
+    ]
+    each = None
+    for rows in counted:
+        each = rows if each is None else each.union(rows)
+    counts = each.groupBy("root").agg(*[F.count_if(F.col("what") == n).alias(n) for n in names])
+    capabilities = g.of_kind("capability").agg(F.count("*").alias("n_capabilities"))
+    rows = g.of_kind("application").select(F.col("id").alias("root")).join(counts, "root", "left").fillna(0, names).join(F.broadcast(capabilities))  # one row
+    return rows.withColumns({"n_degraded": F.expr("n_touched - n_lost"), "n_unaffected": F.expr("n_capabilities - n_touched")}).drop("n_touched", "n_capabilities")

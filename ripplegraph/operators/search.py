@@ -2,25 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+from typing import Protocol
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import chunks, described, tokens
 
 K1, B = 1.5, 0.75
 
 
-def indexable(chunks: DataFrame) -> DataFrame:
+def indexable(sections: DataFrame) -> DataFrame:
     """chunk_id, source, text of the sections that have a body; headings above a section count as its text."""
-    text = F.concat_ws("\n", F.array_join("heading_path", "\n"), "body")
-    return chunks.where("body <> ''").select("chunk_id", "source", F.trim(text).alias("text"))
+    return described(sections).where("not is_empty").select("chunk_id", "source", F.col("indexable").alias("text"))
 
 
-def unwritten(chunks: DataFrame) -> DataFrame:
+def unwritten(sections: DataFrame) -> DataFrame:
     """Sections without a body, but for the title of a source that has written sections."""
-    written = chunks.where("body <> ''").select("source").distinct()
-    titles = chunks.where("body = '' and size(heading_path) <= 1").join(written, "source", "left_semi").select("chunk_id")
-    return chunks.where("body = ''").join(titles, "chunk_id", "left_anti").select("chunk_id", "source", "heading")
+    written = sections.where("body <> ''").select("source").distinct()
+    titles = sections.where("body = '' and size(heading_path) <= 1").join(written, "source", "left_semi").select("chunk_id")
+    return sections.where("body = ''").join(titles, "chunk_id", "left_anti").select("chunk_id", "source", "heading")
+
+
+def load_corpus(spark: SparkSession, root: str, *folders: str) -> DataFrame:
+    """(source, text) of the markdown files in folders below root; source is the path below root."""
+    top = root.rstrip("/")
+    read = spark.read.text([f"{top}/{f}/*.md" for f in folders] or f"{top}/*.md", wholetext=True)
+    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(top)
+    whole = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toString()
+    path = F.regexp_replace(F.expr("url_decode(replace(_metadata.file_path, '+', '%2B'))"), r"^(\w+):/+", "$1:/")
+    prefix = whole.replace(":///", ":/").replace("://", ":/").rstrip("/") + "/"
+    return read.select(F.substring(path, len(prefix) + 1, 4096).alias("source"), F.col("value").alias("text"))
 
 
 def term_stats(texts: DataFrame) -> DataFrame:
@@ -29,23 +43,82 @@ def term_stats(texts: DataFrame) -> DataFrame:
     return each.groupBy("term").agg(F.count("*").alias("n_chunks"), F.sum("count").alias("n_total"))
 
 
-def search(texts: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
-    """(query_id, rank, chunk_id, score): the k best of chunk_id, text for each query_id, query; fewer if fewer match.
+@dataclass
+class Index:
+    """postings: term, chunk_id, tf, length; stats: one row with the number of chunks, n, and their average length."""
+
+    postings: DataFrame
+    stats: DataFrame
+
+    def search(self, queries: DataFrame, k: int = 3) -> DataFrame:
+        """(query_id, rank, chunk_id, score): the k best for each query_id, query; fewer if fewer match.
 
-    A term that a query repeats counts as often. Ties go to the smaller chunk_id, as text. Only the queries' terms are shuffled.
-    """
-    if k < 0:
-        raise ValueError("k must not be negative")
+        A term that a query repeats counts as often. Ties of whole scores go to the smaller chunk_id, as text; scores are
+        rounded to 6 places for output only.
+        """
+        if k < 0:
+            raise ValueError("k must not be negative")
+        asked = queries.select("query_id", F.explode(tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+        postings = self.postings.join(asked.select("term").distinct(), "term", "left_semi")
+        seen = postings.groupBy("term").agg(F.count("*").alias("df"))
+        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        gain = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (F.lit(1 - B) + F.lit(B) * F.col("length") / F.col("average")))
+        scores = postings.join(seen, "term").join(asked, "term").join(F.broadcast(self.stats))  # one row
+        scores = scores.groupBy("query_id", "chunk_id").agg(F.sum(gain).alias("score")).where("score > 0")
+        # sums in another order differ in their last digits, which must not decide
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "chunk_id"))
+        return scores.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
+def index(texts: DataFrame, keep: bool = True) -> Index:
+    """Of chunk_id, text; chunks without tokens count for the average. keep: for more than one search, the tables are cached."""
+    lengths = texts.select("chunk_id", tokens("text").alias("terms")).withColumn("length", F.coalesce(F.size("terms"), F.lit(0)))
+    average = F.coalesce(F.nullif(F.avg("length"), F.lit(0.0)), F.lit(1.0))
+    stats = lengths.agg(F.count("*").alias("n"), average.alias("average"))
+    postings = lengths.select("chunk_id", "length", F.explode("terms").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    if keep:
+        postings, stats = postings.persist(StorageLevel.MEMORY_AND_DISK), stats.persist(StorageLevel.MEMORY_AND_DISK)
+    return Index(postings, stats)
+
+
+def search(texts: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
+    """One search without an index kept: only the queries' terms are shuffled."""
     lengths = texts.select("chunk_id", tokens("text").alias("terms")).withColumn("length", F.coalesce(F.size("terms"), F.lit(0)))
-    n, average = lengths.agg(F.count("*"), F.avg("length")).first()
-    asked = queries.select("query_id", F.explode(tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    wanted = asked.select("term").distinct()
+    wanted = queries.select(F.explode(tokens("query")).alias("term")).distinct()
     found = lengths.select("chunk_id", "length", F.explode("terms").alias("term")).join(wanted, "term", "left_semi")
     postings = found.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    seen = postings.groupBy("term").agg(F.count("*").alias("df"))
-    scale = F.lit(1 - B) + F.lit(B) * F.col("length") / F.lit(float(average or 1))
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    gain = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * scale)
-    scores = postings.join(seen, "term").join(asked, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(gain), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
-    return scores.where("score > 0").withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
+    return Index(postings, index(texts, keep=False).stats).search(queries, k)
+
+
+class Retriever(Protocol):
+    """What answers a search: hits as source, heading, line_start, line_end, score, body by rank."""
+
+    def search(self, query: str, k: int = 3) -> DataFrame: ...
+
+
+class KeywordRetriever:
+    """BM25 over the sections of prose (source, text), indexed once."""
+
+    def __init__(self, prose: DataFrame):
+        self.sections = chunks(prose).persist(StorageLevel.MEMORY_AND_DISK)
+        self.index = index(indexable(self.sections))
+
+    @classmethod
+    def from_corpus(cls, spark: SparkSession, root: str, *folders: str) -> KeywordRetriever:
+        return cls(load_corpus(spark, root, *folders))
+
+    def search(self, query: str, k: int = 3) -> DataFrame:
+        asked = self.sections.sparkSession.range(1).select(F.lit("q").alias("query_id"), F.lit(query).alias("query"))
+        found = self.index.search(asked, k).join(described(self.sections), "chunk_id")
+        return found.select("rank", "source", "heading", "breadcrumb", "citation", "line_start", "line_end", F.bround("score", 3).alias("score"), "body").orderBy("rank")
+
+    def unwritten(self) -> DataFrame:
+        return unwritten(self.sections)
+
+    def __repr__(self) -> str:
+        return f"KeywordRetriever({self.index.stats.first()['n']} sections indexed, {self.unwritten().count()} unwritten)"
+
+
+def rendered(hits: DataFrame) -> DataFrame:
+    """(rank, line) of a retriever's hits as text."""
+    return hits.select("rank", F.format_string("%d. %s [%s] (score %s)\n%s", "rank", "breadcrumb", "citation", F.col("score").cast("string"), "body").alias("line"))

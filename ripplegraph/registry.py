@@ -9,7 +9,6 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions.text import chunks
 from .operators import graph as ops
 from .operators import search
 from .sources.model import KINDS, Graph
@@ -30,55 +29,49 @@ def schema(required: list[str], **properties: dict) -> dict:
     return {"type": "object", "properties": properties, "required": required, "additionalProperties": False}
 
 
-def one(g: Graph, kind: str, build: Callable[[Graph], DataFrame]) -> Callable[[str], DataFrame]:
-    """A tool for one id of a kind, from a question that answers for all."""
-
-    def run(id: str) -> DataFrame:
-        g.require(id, kind)
-        return build(g).where(F.col("root") == id).orderBy("id")
-
-    return run
-
-
-def tools(g: Graph, prose: DataFrame | None = None) -> dict[str, Tool]:
-    """prose: source, text of markdown documents; without it there is no search_documents."""
+def tools(g: Graph, prose: DataFrame | search.Retriever | None = None) -> dict[str, Tool]:
+    """prose: source, text of markdown documents, or what searches them; without it there is no search_documents."""
+    apps = "application"
     narrow = {
-        "applications_for_capability": ("capability", "Applications that support a capability", lambda g: ops.inbound(g, "SUPPORTS")),
-        "owned_data": ("application", "Data objects an application is the authoritative source for", lambda g: ops.outbound(g, "OWNS")),
-        "consumed_data": ("application", "Data objects an application reads without being their source", lambda g: ops.outbound(g, "CONSUMES")),
-        "consumers_without_ownership": ("data_object", "Applications that read a data object and do not own it", ops.consumers_without_ownership),
-        "direct_dependents": ("application", "Applications that depend on an application directly", lambda g: ops.inbound(g, "DEPENDS_ON")),
-        "transitive_dependents": ("application", "Applications that depend on an application, directly or through others", ops.transitive_dependents),
-        "indirect_dependents": ("application", "Applications that depend on an application through at least one other", ops.indirect_dependents),
-        "orphaned_data_if_retired": ("application", "Data objects left without any authoritative source", lambda g: ops.only_source(g, "OWNS")),
-        "orphaned_technologies_if_retired": ("application", "Technologies on which nothing would run any more", lambda g: ops.only_source(g, "RUNS_ON")),
-        "capabilities_losing_all_support": ("application", "Capabilities that only this application supports", lambda g: ops.only_source(g, "SUPPORTS")),
-        "capabilities_degraded_by_retiring": ("application", "Capabilities that lose a supporter, or whose supporter depends on the application", ops.degraded),
-        "impact_of_retiring": ("application", "All sections of an application's retirement, each row with its proof", ops.impact),
+        "applications_for_capability": ("capability", "Applications that support a capability", lambda root: ops.inbound(g, "SUPPORTS")),
+        "owned_data": (apps, "Data objects an application is the authoritative source for", lambda root: ops.outbound(g, "OWNS")),
+        "consumed_data": (apps, "Data objects an application reads without being their source", lambda root: ops.outbound(g, "CONSUMES")),
+        "consumers_without_ownership": ("data_object", "Applications that read a data object and do not own it", lambda root: ops.consumers_without_ownership(g)),
+        "direct_dependents": (apps, "Applications that depend on an application directly", lambda root: ops.inbound(g, "DEPENDS_ON")),
+        "transitive_dependents": (apps, "Applications that depend on an application, directly or through others", lambda root: ops.transitive_dependents(g, root)),
+        "indirect_dependents": (apps, "Applications with a route of two steps or more to an application, whether they depend on it directly as well or not", lambda root: ops.indirect_dependents(g, root)),
+        "orphaned_data_if_retired": (apps, "Data objects left without any authoritative source", lambda root: ops.only_source(g, "OWNS")),
+        "orphaned_technologies_if_retired": (apps, "Technologies on which nothing would run any more", lambda root: ops.only_source(g, "RUNS_ON")),
+        "capabilities_losing_all_support": (apps, "Capabilities that only this application supports", lambda root: ops.only_source(g, "SUPPORTS")),
+        "capabilities_degraded_by_retiring": (apps, "Capabilities that lose a supporter, or whose supporter depends on the application", lambda root: ops.degraded(g, root)),
+        "capabilities_unaffected_by_retiring": (apps, "Capabilities that no affected application supports", lambda root: ops.unaffected(g, root)),
     }
-    found = {n: Tool(n, d + ".", schema(["id"], id={"type": "string", "description": f"id of the {k}"}), one(g, k, b)) for n, (k, d, b) in narrow.items()}
-
-    def unaffected(id: str) -> DataFrame:
-        g.require(id, "application")
-        return ops.unaffected(g, id).orderBy("id")
+    found: dict[str, Tool] = {}
 
     def add(name: str, description: str, shape: dict, build: Callable[..., DataFrame]) -> None:
-        found[name] = Tool(name, description, shape, build)
+        found[name] = Tool(name, description + ".", shape, build)
+
+    def one(kind: str, build: Callable[[str], DataFrame]) -> Callable[[str], DataFrame]:
+        def run(id: str) -> DataFrame:
+            g.require(id, kind)
+            return ops.named(g, build(id).where(F.col("root") == id).select(*ops.FINDING)).select("id", "name", "kind", "attributes", "explanation", "path", "depth").orderBy("id")
+
+        return run
 
     text, kind = {"type": "string"}, {"type": "string", "enum": list(KINDS.values())}
-    add("capabilities_unaffected_by_retiring", "Capabilities that no affected application supports.", schema(["id"], id=text), unaffected)
-    add("find_elements", "Elements whose name contains a text, or whose id it is.", schema(["query"], query=text, kind=kind), lambda query, kind=None: ops.find(g, query, kind).orderBy("kind_ord", "id"))
-    add("list_elements", "All elements of a kind.", schema(["kind"], kind=kind), lambda kind: g.of_kind(kind).select("id", "name", "attributes").orderBy("id"))
-    if prose is not None:
-        sections = chunks(prose)
+    for name, (of, description, build) in narrow.items():
+        add(name, description, schema(["id"], id=text | {"description": f"id of the {of}"}), one(of, build))
 
-        def look(query: str, k: int = 3) -> DataFrame:
-            asked = prose.sparkSession.range(1).select(F.lit("q").alias("query_id"), F.lit(query).alias("query"))
-            hits = search.search(search.indexable(sections), asked, k)
-            shown = sections.select("chunk_id", "source", "heading", "line_start", "line_end", "body")
-            return hits.join(shown, "chunk_id").select("rank", "source", "heading", "line_start", "line_end", F.bround("score", 3).alias("score"), "body").orderBy("rank")
+    def impact(id: str) -> DataFrame:
+        g.require(id, apps)
+        return ops.impact(g, id).select("section", "id", "name", "kind", "explanation", "path", "depth").orderBy("section_ord", "id")
 
-        add("search_documents", "The sections of prose that match a question best.", schema(["query"], query=text, k={"type": "integer", "minimum": 0}), look)
+    add("impact_of_retiring", "All nine sections of an application's retirement, each row with its proof", schema(["id"], id=text), impact)
+    add("find_elements", "Elements whose name contains a text, or whose id it is", schema(["query"], query=text, kind=kind), lambda query, kind=None: ops.find(g, query, kind).orderBy("kind_ord", "id"))
+    add("list_elements", "All elements of a kind", schema(["kind"], kind=kind), lambda kind: g.of_kind(kind).select("id", "name", "attributes").orderBy("id"))
+    if prose is not None:
+        retriever = search.KeywordRetriever(prose) if isinstance(prose, DataFrame) else prose
+        add("search_documents", "The sections of prose that match a question best", schema(["query"], query=text, k={"type": "integer", "minimum": 0}), lambda query, k=3: retriever.search(query, k))
     return found
 
 

@@ -9,6 +9,7 @@ import json
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +26,10 @@ ELEMENT = pa.schema([("id", pa.string()), ("kind", pa.string()), ("name", pa.str
 EDGE = pa.schema([("src", pa.string()), ("type", pa.string()), ("dst", pa.string()), ("ord", pa.int64())])
 
 
+#: Values of a document that stand for text; numbers are read as their digits.
+PLAIN = (str, int, float)
+
+
 class ModelError(ValueError):
     """All that is wrong with a model document."""
 
@@ -51,6 +56,39 @@ class Graph:
             raise ValueError(f"unknown kind {kind!r}; one of {', '.join(KINDS.values())}")
         return self.elements.where(F.col("kind") == kind)
 
+    def has(self, element_id: str) -> bool:
+        return not self.elements.where(F.col("id") == element_id).isEmpty()
+
+    def name(self, element_id: str) -> str:
+        return self.require(element_id)["name"]
+
+    def ids_of_kind(self, kind: str) -> DataFrame:
+        return self.of_kind(kind).select("id").orderBy("id")
+
+    def side(self, element_id: str, end: str, kind: str | None) -> DataFrame:
+        self.require(element_id)
+        rows = self.edges if kind is None else self.of_type(kind)
+        return rows.where(F.col(end) == element_id)
+
+    def outgoing(self, element_id: str, kind: str | None = None) -> DataFrame:
+        """Relationships from an element, of one type or all, in the order of the document."""
+        return self.side(element_id, "src", kind).orderBy("ord", "type", "dst")
+
+    def incoming(self, element_id: str, kind: str | None = None) -> DataFrame:
+        return self.side(element_id, "dst", kind).orderBy("ord", "type", "src")
+
+    def targets(self, element_id: str, kind: str) -> DataFrame:
+        """(id): what an element relates to by this type, each once, sorted."""
+        return self.side(element_id, "src", kind).select(F.col("dst").alias("id")).distinct().orderBy("id")
+
+    def sources(self, element_id: str, kind: str) -> DataFrame:
+        return self.side(element_id, "dst", kind).select(F.col("src").alias("id")).distinct().orderBy("id")
+
+    def counts(self) -> dict[str, int]:
+        """Elements of each kind, and relationships."""
+        found = {r["kind"]: r["count"] for r in self.elements.groupBy("kind").count().collect()}
+        return {k: found.get(k, 0) for k in KINDS.values()} | {"relationships": self.edges.count()}
+
     def require(self, element_id: str, kind: str | None = None) -> dict:
         """The element, checked before a query takes its id."""
         found = self.elements.where(F.col("id") == element_id).first()
@@ -117,8 +155,11 @@ def from_document(spark: SparkSession, document: dict, strict: bool = True) -> G
             if not isinstance(row, dict) or not {"id", "name"} <= row.keys():
                 errors.append(f"{name}[{i}] needs an id and a name")
                 continue
+            if not all(isinstance(row[k], PLAIN) for k in ("id", "name")):
+                errors.append(f"{name}[{i}]: id and name must be text")
+                continue
             rest = [(k, v if isinstance(v, str) else json.dumps(v)) for k, v in row.items() if k not in ("id", "name")]
-            elements.append((row["id"], kind, row["name"], rest, kind_ord, i))
+            elements.append((str(row["id"]), kind, str(row["name"]), rest, kind_ord, i))
     rows = document.get("relationships", [])
     if not isinstance(rows, list):
         errors.append("relationships is not a list")
@@ -127,7 +168,10 @@ def from_document(spark: SparkSession, document: dict, strict: bool = True) -> G
         if not isinstance(row, dict) or not {"from", "type", "to"} <= row.keys():
             errors.append(f"relationships[{i}] needs from, type and to")
             continue
-        edges.append((row["from"], row["type"], row["to"], i))
+        if not all(isinstance(row[k], PLAIN) for k in ("from", "type", "to")):
+            errors.append(f"relationships[{i}]: from, type and to must be text")
+            continue
+        edges.append((str(row["from"]), str(row["type"]), str(row["to"]), i))
     graph = Graph(local_table(spark, elements, ELEMENT), local_table(spark, edges, EDGE))
     found = violations(graph.elements, graph.edges).orderBy(F.expr("rule <> 'repeated id'"), F.col("ord").asc_nulls_last(), "src", "dst").collect()
     kinds = {}
@@ -147,5 +191,12 @@ def from_document(spark: SparkSession, document: dict, strict: bool = True) -> G
 
 
 def load(spark: SparkSession, path: str, strict: bool = True) -> Graph:
-    text = spark.read.text(path, wholetext=True).first()
-    return from_document(spark, json.loads(text[0]) if text else {}, strict)
+    """ModelError too if the file can't be read or isn't JSON."""
+    try:
+        text = spark.read.text(path, wholetext=True).first()
+        document = json.loads(text[0]) if text else {}
+    except (PySparkException, ValueError) as error:
+        raise ModelError([f"{path} can't be read: {str(error).splitlines()[0]}"]) from error
+    if not isinstance(document, dict):
+        raise ModelError([f"{path} holds no object"])
+    return from_document(spark, document, strict)
