@@ -32,10 +32,10 @@ class Score:
 
 
 def questions(spark: SparkSession, path: str) -> DataFrame:
-    """(id, kind, question, expected) from a JSON file with a list `questions` of objects with id, type, question, expected or expected_sources."""
-    shape = "array<struct<id:string,type:string,question:string,expected:array<string>,expected_sources:array<string>>>"
+    """(id, kind, question, expected) from a JSON file with a list `questions` of objects with id, type, question and one of expected, expected_answer, expected_sources."""
+    shape = "array<struct<id:string,type:string,question:string,expected:array<string>,expected_answer:array<string>,expected_sources:array<string>>>"
     rows = spark.read.schema(f"questions {shape}").option("multiLine", True).json(path).selectExpr("inline(questions)")
-    return rows.select("id", F.col("type").alias("kind"), "question", F.coalesce("expected", "expected_sources", F.array().cast("array<string>")).alias("expected"))
+    return rows.select("id", F.col("type").alias("kind"), "question", F.coalesce("expected", "expected_answer", "expected_sources", F.array().cast("array<string>")).alias("expected"))
 
 
 def score_graph(question_id: str, expected: list[str], tools: dict[str, Tool], plan: dict[str, tuple[str, dict]]) -> Score:
