@@ -5,7 +5,8 @@
    grid of cells, and every representative lies in one cell.
 3. A row visits every cell whose distance bound, summed over the halves, is at most r2, the squared distance of vectors at
    the threshold. The bound of a codeword is the distance to its Voronoi border, so no link is missed, whatever the
-   vectors' distribution. Vectors that point anywhere alike are near most borders: there nearly all pairs are compared.
+   vectors' distribution. Cells are visited in the order of their bound, codeword by codeword of one half, until none is
+   near enough. Vectors that point anywhere alike are near most borders: there nearly all pairs are compared.
    recall < 1 is a cut for such vectors only: a neighbour at squared distance r2 in d dimensions crosses a border at
    distance t with a chance of at most exp(-t * t * d / (2 * r2)) where differences point anywhere alike, so cells up to
    t * t = r2 / d * 2 * ln(1 / (1 - recall)) are visited. Where components differ in scale it misses more than 1 - recall.
@@ -13,9 +14,10 @@
    one's rows visit, so a pair is compared once. Cells of any size are dealt into blocks of bounded size, and a block
    returns each row's number of links and a spanning forest, no pairs.
 
-Null ids and vectors that are null, zero, of another length than the commonest, or hold null or non-finite components link
-with nothing; a null id's component is null. Repeated rows are copies of each other. An empty table gives no rows. Other
-columns are not read.
+Null ids and vectors that are null, zero, of another length than the commonest (the cosine of two lengths is undefined), or
+hold null or non-finite components link with nothing; a null id's component is null. Repeated rows are copies of each other;
+rows of one id with different vectors are compared each for itself, but what links to either is of one component. An empty
+table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,12 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, group_numbers, whole_groups, written
+from .common import Forest, Scratch, components, group_numbers, released, whole_groups
 from .vectors import dimension, keyed, matrix, unit
 
-MOST_CODEWORDS = 256
-
-
 def codebook(half: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
     """k-means from evenly spaced rows; a codeword left without rows stays."""
     words = half[np.linspace(0, len(half) - 1, k).astype(int)].copy()
@@ -58,6 +57,14 @@ def borders(x: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return own, np.where(apart > 1e-9, gap / (2 * np.maximum(apart, 1e-9)), 0) ** 2
 
 
+def visited(left: np.ndarray, right: np.ndarray, reach: float) -> np.ndarray:
+    """Cells (numbers of the product grid) of one row whose bounds in both halves sum to at most reach, by both halves' sorted bounds."""
+    first, second = np.argsort(left, kind="stable"), np.argsort(right, kind="stable")
+    n = np.searchsorted(right[second], reach - left[first], side="right")
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(first, n) * len(right) + second[at]
+
+
 def placed(reps: DataFrame, books: tuple[np.ndarray, np.ndarray], dim: int, reach: float) -> DataFrame:
     """reps with their cell and the higher-numbered cells that they visit."""
 
@@ -65,31 +72,32 @@ def placed(reps: DataFrame, books: tuple[np.ndarray, np.ndarray], dim: int, reac
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                x, k = unit(matrix(batch.column(2), dim)), len(books[1])
+                x, k = unit(matrix(batch.column("vector"), dim)), len(books[1])
                 (a, left), (b, right) = borders(x[:, : dim // 2], books[0]), borders(x[:, dim // 2 :], books[1])
                 cell = a * k + b
-                visits = [np.flatnonzero((p[:, None] + q <= reach).ravel()) for p, q in zip(left, right, strict=True)]
+                visits = [visited(p, q, reach) for p, q in zip(left, right, strict=True)]
                 visits = [v[v > c].astype(np.int32) for v, c in zip(visits, cell.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(visits, pa.list_(pa.int32()))], [*batch.schema.names, "cell", "visits"])
 
     kind = dict(reps.dtypes)["vector"]
-    return reps.select("key", "copies", "vector").mapInArrow(run, f"key binary, copies long, vector {kind}, cell int, visits array<int>")
+    return reps.select("k1", "k2", "node", "copies", "vector").mapInArrow(run, f"k1 long, k2 long, node long, copies long, vector {kind}, cell int, visits array<int>")
 
 
 def blocks(rows: DataFrame, chunk_rows: int) -> DataFrame:
     """A cell's rows and visitors, dealt into blocks (cell, a, b) of at most about two chunks; visitors' chunks follow the rows'."""
-    own = rows.select("cell", "key", "copies", "vector", F.lit(True).alias("own"))
-    visitors = rows.select(F.explode("visits").alias("cell"), "key", "copies", "vector", F.lit(False).alias("own"))
+    row = ["k1", "k2", "node", "copies", "vector"]
+    own = rows.select("cell", *row, F.lit(True).alias("own"))
+    visitors = rows.select(F.explode("visits").alias("cell"), *row, F.lit(False).alias("own"))
     size = rows.groupBy("cell").agg(F.count("*").alias("n"))
     guests = rows.select(F.explode("visits").alias("cell")).groupBy("cell").agg(F.count("*").alias("m"))
-    # at most MOST_CODEWORDS squared rows of three numbers; cells without rows of their own are left out
+    # cells without rows of their own are left out; the table is small where it is broadcast, which Spark decides by its size
     chunks = size.join(guests, "cell", "left").selectExpr("cell", "n", "coalesce(m, 0) as m").selectExpr(
         "cell", f"int(ceil(n / {chunk_rows})) as mine", f"int(ceil(m / {chunk_rows})) as theirs", f"n + m <= {chunk_rows} as small"
     )
-    every = own.union(visitors).join(F.broadcast(chunks), "cell")
-    every = every.withColumn("chunk", F.expr("if(small, 0, if(own, pmod(xxhash64(key, 5), mine), mine + pmod(xxhash64(key, 5), theirs)))").cast("int"))
+    every = own.union(visitors).join(chunks, "cell")
+    every = every.withColumn("chunk", F.expr("if(small, 0, if(own, pmod(xxhash64(k1, 5), mine), mine + pmod(xxhash64(k1, 5), theirs)))").cast("int"))
     every = every.withColumn("other", F.explode(F.expr("if(small, array(0), if(own, sequence(0, mine + theirs - 1), sequence(0, mine - 1)))")))
-    return every.select("cell", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "chunk", "own", "key", "copies", "vector")
+    return every.select("cell", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "chunk", "own", *row)
 
 
 def block_links(table: pa.Table, dim: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +123,7 @@ def block_links(table: pa.Table, dim: int, threshold: float) -> tuple[np.ndarray
 
 
 def compared(dealt: DataFrame, dim: int, threshold: float) -> DataFrame:
-    """(key, links, root) of the rows with links, once for each block."""
+    """(k1, k2, node, links, root) of the rows with links, once for each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "cell", "a", "b", most_rows=2000):
@@ -124,42 +132,45 @@ def compared(dealt: DataFrame, dim: int, threshold: float) -> DataFrame:
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 links[lo:hi], root[lo:hi] = block_links(table.slice(lo, hi - lo), dim, threshold)
                 root[lo:hi] += lo
-            keys, some = table.column("key").combine_chunks(), np.flatnonzero(links)
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(some)), pa.array(links[some]), keys.take(pa.array(root[some]))], ["key", "links", "root"])
+            some, node = np.flatnonzero(links), table.column("node").to_numpy()
+            yield pa.RecordBatch.from_arrays([*(pa.array(table.column(k).to_numpy()[some]) for k in ("k1", "k2")), pa.array(node[some]), pa.array(links[some]), pa.array(node[root[some]])], ["k1", "k2", "node", "links", "root"])
+        released()
 
     whole = dealt.repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b")
-    return whole.mapInArrow(run, "key binary, links long, root binary")
+    return whole.mapInArrow(run, "k1 long, k2 long, node long, links long, root long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float = 1.0, rows_per_cell: int = 1024, sample_rows: int = 8192, chunk_rows: int = 1024, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """id, n_links (other rows with cosine >= threshold, copies included), component_id (smallest id that links reach), kept.
 
-    sample_rows bounds the rows that the codebooks are fitted on (twice as many at most).
+    sample_rows bounds the rows that the codebooks are fitted on (twice as many at most), and an eighth of it the codewords.
     """
-    dim = dimension(vectors, vector_column)
-    rows = written(keyed(vectors, id_column, vector_column, dim))
-    reps = written(rows.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("vector").alias("vector")))
+    dim, key, scratch = dimension(vectors, vector_column), ["k1", "k2"], Scratch(vectors.sparkSession)
+    rows = scratch.write(keyed(vectors, id_column, vector_column, dim))
+    reps = rows.where("k1 is not null").groupBy(*key).agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
+    reps = scratch.write(reps)
     n = reps.count()
     if n:
         share = max(1, n // sample_rows)
-        sample = reps.where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0).orderBy("key").limit(2 * sample_rows).select("vector").toArrow()
+        sample = reps.where(F.pmod("k1", F.lit(share)) == 0).orderBy(*key).limit(2 * sample_rows).select("vector").toArrow()
         if not sample.num_rows:
-            sample = reps.orderBy("key").limit(sample_rows).select("vector").toArrow()
+            sample = reps.orderBy(*key).limit(sample_rows).select("vector").toArrow()
         x = unit(matrix(sample.column(0), dim))
-        k = min(max(ceil(sqrt(n / rows_per_cell)), 4), MOST_CODEWORDS, len(x))
+        k = min(max(ceil(sqrt(n / rows_per_cell)), 4), max(4, sample_rows // 8), len(x))
         books = codebook(x[:, : dim // 2], k), codebook(x[:, dim // 2 :], k)
         r2 = 2 - 2 * threshold
         reach = r2 if recall >= 1 else min(r2, r2 / dim * 2 * log(1 / (1 - recall)))
-        cells = written(placed(reps, books, dim, reach + 1e-9))
-        found = written(compared(blocks(cells, chunk_rows), dim, threshold))
+        cells = scratch.write(placed(reps, books, dim, reach + 1e-9))
+        found = scratch.write(compared(blocks(cells, chunk_rows), dim, threshold), cells)
     else:
-        found = reps.selectExpr("key", "copies as links", "key as root")
-    links = found.groupBy("key").agg(F.sum("links").alias("links"))
-    groups = components(found.select(F.col("key").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "key")
-    known = reps.select("key", "copies", "id").join(groups, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    known = known.join(known.groupBy("component").agg(F.min("id").alias("component_id")), "component").join(links, "key", "left")
-    known = known.select("key", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")).where("n_links > 0")
-    all_rows = rows.select("id", "key").join(known, "key", "left").select(
+        found = scratch.write(reps.selectExpr("k1", "k2", "node", "copies as links", "node as root"))
+    groups = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    linked = found.groupBy(*key, "node").agg(F.sum("links").alias("links")).join(groups, "node", "left")
+    linked = scratch.write(linked.select(*key, "links", F.coalesce("component", "node").alias("component_id")), found)
+    known = reps.select(*key, "copies", "node").join(linked, key, "left")
+    known = known.select(*key, F.coalesce("component_id", "node").alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    known = scratch.write(known.where("n_links > 0"), linked, reps)
+    all_rows = rows.select("id", *key).join(known, key, "left").select(
         "id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id")
     )
     return all_rows.select(F.col("id").alias(id_column), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -21,11 +21,10 @@ def usable(column: str, dim: int) -> str:
 
 
 def keyed(rows: DataFrame, id_column: str, column: str, dim: int) -> DataFrame:
-    """id, key (128 bits of the vector; null if it takes no part), vector."""
+    """id, k1 and k2 (128 bits of the vector; null if it takes no part), vector."""
     ok = F.col("id").isNotNull() & F.expr(usable("vector", dim))
     rows = rows.select(F.col(id_column).cast("long").alias("id"), F.col(column).alias("vector"))
-    halves = [F.lpad(F.hex(F.xxhash64("vector", F.lit(seed))), 16, "0") for seed in (1, 2)]
-    return rows.select("id", F.when(ok, F.unhex(F.concat(*halves))).alias("key"), "vector")
+    return rows.select("id", *[F.when(ok, F.xxhash64("vector", F.lit(seed))).alias(f"k{seed}") for seed in (1, 2)], "vector")
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:

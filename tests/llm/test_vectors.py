@@ -71,7 +71,7 @@ def test_forest_finds_all_when_it_may_look_at_all(spark):
     data = rows()
     ids, x, _, _ = expected(data)
     found = {}
-    for r in prefix_forest.search(spark.createDataFrame(data, SCHEMA), "id % 20 = 0", k=5, chunk_rows=64).orderBy("query_id", "rank").collect():
+    for r in prefix_forest.search(spark.createDataFrame(data, SCHEMA), "id % 20 = 0", k=5, chunk_rows=64, share=5.0).orderBy("query_id", "rank").collect():
         found.setdefault(r.query_id, []).append((r.vec_id, r.score))
     for q in sorted({i for i in ids.tolist() if i % 20 == 0}):
         at = list(ids).index(q)
@@ -81,11 +81,42 @@ def test_forest_finds_all_when_it_may_look_at_all(spark):
         assert np.allclose([s for _, s in found[q]], score[order])
 
 
-def test_forest_recall_with_few_candidates(spark):
+@pytest.mark.parametrize(("kind", "share"), [("clusters", 0.5), ("anywhere", 0.8)])
+def test_forest_recall(stored, kind, share):
+    import pyarrow as pa
+
     rng = np.random.default_rng(5)
-    centres = rng.standard_normal((40, 16))
-    x = np.repeat(centres, 50, axis=0) + rng.standard_normal((2000, 16)) * 0.3
-    data = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    found = prefix_forest.search(data, "id % 20 = 0", k=10, share=0.3, min_candidates=100, chunk_rows=256).collect()
+    x = rng.standard_normal((2000, 64))
+    if kind == "clusters":
+        x = np.repeat(rng.standard_normal((40, 64)), 50, axis=0) + 0.3 * x
+    data = stored({"vec_id": list(range(2000)), "embedding": x.tolist()}, [("vec_id", pa.int64()), ("embedding", pa.list_(pa.float64()))])
+    found = prefix_forest.search(data, "id % 20 = 0", k=10, share=share, chunk_rows=512).collect()
     best = {q: np.partition(np.delete(x @ x[q], q), -10)[-10] for q in range(0, 2000, 20)}
     assert len(found) == 1000 and np.mean([r.score >= best[r.query_id] - 1e-9 for r in found]) >= 0.9
+
+
+def test_forest_gives_k_results_however_small_the_share(stored):
+    import pyarrow as pa
+
+    x = np.random.default_rng(6).standard_normal((400, 8))
+    data = stored({"vec_id": list(range(400)), "embedding": x.tolist()}, [("vec_id", pa.int64()), ("embedding", pa.list_(pa.float64()))])
+    found = prefix_forest.search(data, "id % 20 = 0", share=0.0).collect()
+    assert len(found) == 400 and all(r.vec_id != r.query_id for r in found)
+    few = prefix_forest.search(data.where("vec_id < 7"), "id = 0").collect()
+    assert sorted(r.vec_id for r in few) == [1, 2, 3, 4, 5, 6]
+
+
+def test_cells_are_visited_in_the_order_of_their_bounds():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        left, right, reach = rng.random(7), rng.random(7), rng.random()
+        want = [i * 7 + j for i in range(7) for j in range(7) if left[i] + right[j] <= reach]
+        assert sorted(embedding_dedup.visited(left, right, reach).tolist()) == want
+
+
+def test_rows_of_one_id(stored):
+    import pyarrow as pa
+
+    data = stored({"vec_id": [5, 5, 7, 9], "embedding": [[1.0, 0.0], [0.0, 1.0], [1.0, 0.01], [0.01, 1.0]]}, [("vec_id", pa.int64()), ("embedding", pa.list_(pa.float64()))])
+    found = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(data).collect())
+    assert found == [(5, 1, 5), (5, 1, 5), (7, 1, 5), (9, 1, 5)]
