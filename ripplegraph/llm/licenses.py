@@ -1,15 +1,17 @@
 r"""Licence scan by a positional index of rare words.
 
-Licence templates and the base phrases form a small positional index: word -> (template, position). One pass over all
-documents counts in how many each licence word occurs; from that come inverse document frequencies. A second pass looks
-up, for each template, the words of highest IDF (`anchors`) of its key phrase, which no accepted place lacks: an anchor at
-word p of the document and q of the template proposes the start p - q. Starts on which all anchors agree are checked word by word:
-at least `share` of the template's words must stand at their places, and all of its key phrase. A base phrase must stand
-whole. Texts are never cut; every place is found.
+Licence templates and the base phrases form a positional index: word -> postings (template, position). One pass over all
+documents counts in how many each licence word occurs; Spark sums the counts, and inverse document frequencies come from them.
+Postings are kept for each template's words of highest IDF (`anchors`) within its key phrase, which no accepted place lacks.
+A second pass looks up each file's licence words in these postings: the word at place p of the file, at q of a template,
+proposes that the template starts at p - q. Proposals of one template and start are intersected: those that all its anchors
+make are checked word by word: at least `share` of the template's words must stand at their places, and all of its key
+phrase. A base phrase must stand whole. Texts are never cut; every place is found.
 
 Words are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after A-Z are lowered. Null text has no words. Without a base phrase n_base is 0
 and first_word and last_word are null; without any label labels are '' and score is 0. score: the highest IDF-weighted
-share of a label's words found in place (1 for a base phrase). Repeated rows get equal results.
+share of a label's words found in place (1 for a base phrase), rounded to 6 places. Repeated rows and rows with a null doc_id
+get results of their own; an empty table gives no rows. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded
+from .common import bounded, kept
 
 # Phrases of the contract, and their labels.
 BASE = [("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license")]
@@ -43,6 +45,19 @@ TEMPLATES = [
     ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
     ("cc-by", "licensed under cc by 4 0", "cc by 4"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "this permission notice shall be included"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", "merchantability fitness for a particular purpose and noninfringement"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "unless required by applicable law or agreed to in writing"),
+    ("gpl", "either version 3 of the license or at your option any later version", "or at your option any later version"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", "in the hope that it will be useful"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistributions of source code must retain"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "may be used to endorse or promote products"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", "source code form is subject to the terms"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", "eclipse public license"),
+    ("bsl", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "any person or organization obtaining a copy"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived all copyright and related or neighboring rights"),
+    ("ofl", "this font software is licensed under the sil open font license version 1 1", "sil open font license"),
 ]
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
@@ -97,36 +112,45 @@ class Index:
         first = np.cumsum(n_words) - n_words
         return n_words, of[hit], hit - first[of[hit]], word
 
+    def postings(self, idf: np.ndarray, anchors: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first, template, position, needed): a word's postings stand from first[word] to first[word + 1]; needed: a template's anchors."""
+        rows, needed = [], np.zeros(len(self.rows), np.int64)
+        for k, numbers in enumerate(self.numbers):
+            rarest = self.keys[k][np.argsort(-idf[numbers[self.keys[k]]], kind="stable")[:anchors]]
+            needed[k] = len(rarest)
+            rows += [(numbers[q], k, q) for q in rarest.tolist()]
+        word, template, position = np.array(sorted(rows)).T
+        return np.searchsorted(word, np.arange(len(self.words) + 1)), template, position, needed
+
     def places(self, of: np.ndarray, at: np.ndarray, word: np.ndarray, idf: np.ndarray, anchors: int, share: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """For each template: texts, starts and scores of the places where it stands."""
         where = of.astype(np.int64) << 32 | at
-        postings = np.argsort(word, kind="stable")
-        first = np.searchsorted(word[postings], np.arange(len(self.words) + 1))
-        for k, numbers in enumerate(self.numbers):
-            rarest = self.keys[k][np.argsort(-idf[numbers[self.keys[k]]], kind="stable")[:anchors]]
-            proposed = [where[postings[first[numbers[q]] : first[numbers[q] + 1]]] - q for q in rarest]
-            starts, votes = np.unique(np.concatenate(proposed), return_counts=True)
-            starts = starts[votes >= len(rarest)]
-            if not len(starts):
-                continue
+        first, template, position, needed = self.postings(idf, anchors)
+        n = first[word + 1] - first[word]
+        row = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[word], n)
+        # a start may lie before its text, or in the one before: then words of the key phrase, which are of one text, tell
+        proposed = np.stack([template[row], np.repeat(where, n) - position[row]])
+        order = np.lexsort(proposed[::-1])
+        proposed = proposed[:, order]
+        change = np.flatnonzero(np.any(np.diff(proposed, axis=1, prepend=-1) != 0, axis=0))
+        votes = np.diff(change, append=proposed.shape[1])
+        agreed = change[votes == needed[proposed[0, change]]] if len(change) else change
+        for k in np.unique(proposed[0, agreed]).tolist():
+            numbers, key = self.numbers[k], self.keys[k]
+            starts = proposed[1, agreed[proposed[0, agreed] == k]]
             wanted = starts[:, None] + np.arange(len(numbers))
             found = np.minimum(np.searchsorted(where, wanted), len(where) - 1)
             good = (where[found] == wanted) & (word[found] == numbers)
             weight = idf[numbers] + 1e-9
             score = (good * weight).sum(1) / weight.sum()
-            ok = good[:, self.keys[k]].all(1) & (good.mean(1) >= share) & (wanted[:, self.keys[k][0]] >> 32 == wanted[:, self.keys[k][-1]] >> 32)
-            yield k, wanted[ok][:, self.keys[k][0]] >> 32, starts[ok] - ((wanted[ok][:, self.keys[k][0]] >> 32) << 32), score[ok]
-
-
-_indexes: dict[int, Index] = {}
+            ok = good[:, key].all(1) & (good.mean(1) >= share) & (wanted[:, key[0]] >> 32 == wanted[:, key[-1]] >> 32)
+            text = wanted[ok][:, key[0]] >> 32
+            yield k, text, starts[ok] - (text << 32), score[ok]
 
 
 def index(base: list, templates: list) -> Index:
     """One for each worker process, kept between its tasks."""
-    key = hash((tuple(base), tuple(templates)))
-    if key not in _indexes:
-        _indexes[key] = Index(base, templates)
-    return _indexes[key]
+    return kept(("licences", tuple(base), tuple(templates)), lambda: Index(base, templates))
 
 
 def lowered(texts: pa.Array) -> list[bytes]:
@@ -136,7 +160,7 @@ def lowered(texts: pa.Array) -> list[bytes]:
 def scan(docs: DataFrame, base: list[tuple[str, str]] = BASE, templates: list[tuple[str, str, str]] = TEMPLATES, anchors: int = 3, share: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row.
 
-    Nothing is shuffled; the driver receives one row of word counts a partition.
+    No text moves; Spark sums the licence words' counts, and the driver receives one number a word.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
 
@@ -149,11 +173,12 @@ def scan(docs: DataFrame, base: list[tuple[str, str]] = BASE, templates: list[tu
                 n += batch.num_rows
                 seen += np.bincount(np.unique(of * len(known.words) + word) % len(known.words), minlength=len(known.words))
         if n:
-            yield pa.RecordBatch.from_pydict({"n": [n], "seen": [seen.tolist()]})
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(seen) + 1)), pa.array(np.concatenate([seen, [n]]))], ["word", "n"])
 
-    counted = rows.select("text").mapInArrow(count, "n long, seen array<long>").collect()
-    n = sum(r["n"] for r in counted)
-    seen = np.sum([r["seen"] for r in counted], axis=0) if counted else np.zeros(len(index(base, templates).words))
+    counted = rows.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    totals = np.zeros(len(index(base, templates).words) + 1, np.int64)
+    totals[counted.column("word").to_numpy()] = counted.column("n").to_numpy()
+    n, seen = totals[-1], totals[:-1]
     idf = np.log1p((n - seen + 0.5) / (seen + 0.5))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,6 +204,6 @@ def scan(docs: DataFrame, base: list[tuple[str, str]] = BASE, templates: list[tu
                     np.maximum.at(last, texts, starts)
             none = n_base == 0
             joined = lambda x: pa.array([",".join(sorted(s)) for s in x], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words), pa.array(n_base), pa.array(first, mask=none), pa.array(last, mask=none), joined(base_labels), joined(labels), pa.array(np.minimum(score, 1.0))], ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words), pa.array(n_base), pa.array(first, mask=none), pa.array(last, mask=none), joined(base_labels), joined(labels), pa.array(np.round(np.minimum(score, 1.0), 6))], ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
 
     return rows.mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
