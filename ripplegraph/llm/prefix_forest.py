@@ -9,7 +9,7 @@ first bits, a bucket into chunks of bounded size, each a sorted array of hashes
 1. Descending: a query's own string is its longest prefix match; a cell that differs from it in some bits costs the sum of
    the squared distances of the query to those bits' planes.
 2. Ascending, in all trees at once: cells are taken in the order of their costs until they hold as many entries as wanted:
-   share times the number of entries, counted over all trees, and enough for k results. The number of entries of every cell,
+   share times the number of entries, counted over all trees, and some times what k results need. The number of entries of every cell,
    trees * 2 ** bits numbers, is known to all tasks, so a query knows the cost at which it stops, and goes only to the chunks
    that hold a cell of at most that cost.
 3. The inner products of these cells' entries are computed in their chunks; each chunk returns a query's best, and the best of
@@ -181,10 +181,11 @@ def scored(dealt: DataFrame, planes: Planes, dim: int, most: int) -> DataFrame:
     return dealt.mapInArrow(run, FOUND)
 
 
-def search(vectors: DataFrame, is_query: str, k: int = 20, trees: int = 5, bits: int = 12, share: float = 0.5, chunk_rows: int = 16384, sample_rows: int = 8192, seed: int = 11, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, is_query: str, k: int = 20, trees: int = 5, bits: int = 12, share: float = 0.5, spare: int = 4, chunk_rows: int = 16384, sample_rows: int = 8192, seed: int = 11, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row for which is_query holds (SQL over the id).
 
-    share is summed over the trees: of 0.5 with 5 trees, each takes a tenth of the entries. sample_rows bounds the rows that
+    share is summed over the trees: of 0.5 with 5 trees, each takes a tenth of the entries. Besides, spare times as many entries
+    are taken as k results need at least, since a table of which k is a large part has no few near ones. sample_rows bounds the rows that
     medians are taken from (twice as many at most).
     """
     dim, key, scratch = dimension(vectors, vector_column), ["k1", "k2"], Scratch(vectors.sparkSession)
@@ -205,8 +206,8 @@ def search(vectors: DataFrame, is_query: str, k: int = 20, trees: int = 5, bits:
     counts = index.groupBy("tree", "hash").agg(F.count("*").alias("n")).toArrow()
     sizes = np.zeros((trees, 1 << bits), np.int64)
     sizes[counts.column("tree").to_numpy(), counts.column("hash").to_numpy()] = counts.column("n").to_numpy()
-    # this sum over the trees holds k + 1 different entries at least, if there are as many
-    wanted = max(ceil(share * n), trees * (k + 1) + 1)
+    # trees * (k + 1) entries, counted over the trees, are k + 1 different ones at least, if there are as many
+    wanted = ceil(share * n) + spare * trees * (k + 1) + 1
     parts = np.ceil(sizes.reshape(trees, 1 << depth, -1).sum(2) / chunk_rows).astype(np.int32)
     blocks = pa.table({"tree": pa.array(np.repeat(np.arange(trees), 1 << depth), pa.int32()), "bucket": pa.array(np.tile(np.arange(1 << depth), trees), pa.int64()), "parts": pa.array(parts.ravel())})
     blocks = vectors.sparkSession.createDataFrame(blocks).where("parts > 0").withColumn("block", F.expr(f"shiftleft(tree, {depth}) + bucket"))
