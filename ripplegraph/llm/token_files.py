@@ -8,7 +8,8 @@ their base, the number of ids in all shards before them, taken from prefix sums.
 Order: range partitions on doc_id, each sorted, make the shards, so a document's place is its shard's base plus its
 offset. Each task attempt writes files of its own name; only the attempt whose row reaches the driver is listed, so a
 lost executor costs one task and leaves unlisted files at most. Rows with null text hold the end id alone; equal
-doc_ids keep all their rows. Empty input gives an empty dataset.
+doc_ids keep all their rows. Empty input gives an empty dataset. Other columns are not read, whatever their names. A reader's
+task takes the byte ranges of its documents alone.
 """
 
 from __future__ import annotations
@@ -78,14 +79,15 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, keep_space:
     return manifest
 
 
-def mapped(fs: pa.fs.FileSystem, path: str, kind: str) -> np.ndarray:
-    """The flat file as an array: memory-mapped where it is local, else read."""
+def mapped(fs: pa.fs.FileSystem, path: str, kind: str, first: int, last: int) -> np.ndarray:
+    """Numbers first to last of a flat file: memory-mapped where it is local, else read as a range of bytes."""
     import pyarrow.fs
 
     if isinstance(fs, pyarrow.fs.LocalFileSystem):
-        return np.memmap(path, kind, "r")
-    with fs.open_input_stream(path) as f:
-        return np.frombuffer(f.read(), kind)
+        return np.memmap(path, kind, "r")[first:last] if last > first else np.empty(0, kind)
+    width = np.dtype(kind).itemsize
+    with fs.open_input_file(path) as f:
+        return np.frombuffer(f.read_at((last - first) * width, first * width), kind)
 
 
 def read(spark: SparkSession, folder: str, most_docs: int = 20_000) -> DataFrame:
@@ -99,14 +101,14 @@ def read(spark: SparkSession, folder: str, most_docs: int = 20_000) -> DataFrame
     parts = [(s["name"], s["base"], s["width"], i, min(i + most_docs, s["n_docs"])) for s in shards for i in range(0, s["n_docs"], most_docs)]
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, at = filesystem(folder)
+        fs, top = filesystem(folder)
         for batch in batches:
             for part in batch.to_pylist():
-                path = f"{at}/{part['name']}"
-                offsets = mapped(fs, f"{path}.idx", "<i8")[part["first"] : part["last"] + 1]
-                doc_ids = np.array(mapped(fs, f"{path}.doc", "<i8")[part["first"] : part["last"]])
-                ids = mapped(fs, f"{path}.ids", f"<u{part['width']}")
-                sums = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                path = f"{top}/{part['name']}"
+                offsets = mapped(fs, f"{path}.idx", "<i8", part["first"], part["last"] + 1)
+                doc_ids = np.array(mapped(fs, f"{path}.doc", "<i8", part["first"], part["last"]))
+                ids, at = mapped(fs, f"{path}.ids", f"<u{part['width']}", int(offsets[0]), int(offsets[-1])), int(offsets[0])
+                sums = [zlib.crc32(ids[a - at : b - at].astype("<u4").tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, mask=doc_ids == NULL_ID), pa.array(offsets[:-1] + part["base"]), pa.array(np.diff(offsets)), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     plan = spark.createDataFrame(spark.sparkContext.parallelize(parts, max(1, len(parts))), "name string, base long, width int, first long, last long")

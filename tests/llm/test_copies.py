@@ -156,6 +156,49 @@ def test_surrogates_stay_distinct(documents):
     assert all(len(v) == 1 for v in new.values()) and len({min(v) for v in new.values()}) == len(names)
 
 
+def test_join_of_clashing_columns(documents):
+    docs = documents(["a b", "a b", "c", None], ids=[4, 5, 6, None]).selectExpr("*", "1 as k1", "'x' as class_id", "2 as kept", "3 as text_hash", "'y' as size")
+    assert sorted((r.doc_id or -1, r.class_id or -1, r.n_links) for r in ngram_join.join(docs).collect()) == [(-1, -1, 0), (4, 4, 1), (5, 4, 1), (6, 6, 0)]
+    left = ngram_join.one_of_each(docs)
+    assert left.columns == docs.columns and sorted((r.doc_id or -1, r.class_id, r.size) for r in left.collect()) == [(-1, "x", "y"), (4, "x", "y"), (6, "x", "y")]
+
+
+def test_matching_beyond_what_is_broadcast(spark):
+    from ripplegraph.llm.common import matching
+
+    rows, keys = spark.range(100).selectExpr("id % 10 as a", "id as b"), spark.range(3).selectExpr("id as a")
+    for how, n in (("left_semi", 30), ("left_anti", 70)):
+        assert {matching(rows, keys, ["a"], how, most).count() for most in (0, 1000)} == {n}
+
+
+def odd_tables(tmp_path):
+    import pyarrow as pa
+
+    near = " ".join(f"word{i}" for i in range(60))
+    texts = [None, "", "12 34", near, near + " more", near, "Mr Smith wrote to a.b@c.org about the harbour", "the river and the harbour", "the river and the harbour", "of no id"]
+    ids = [0, 1, 2, 3, 4, 5, 6, 7, 7, None]
+    columns = {"doc_id": pa.array(ids, pa.int64()), "text": texts, "lang": pa.array([None] * 6 + ["en"] * 4), "source": ["s"] * 10, "n_chars": pa.array([None] * 10, pa.int64()), "kept": ["clash"] * 10, "__text": [1] * 10}
+    table = pa.table(columns)
+    for name, rows in (("odd", table), ("none", table.slice(0, 0))):
+        (tmp_path / name).mkdir()
+        pq.write_table(rows, tmp_path / name / "documents.parquet")
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    odd_tables(tmp_path)
+    lengths = defaultdict(int)
+    for r in corpus_pipeline.run(spark, str(tmp_path / "odd")).collect():
+        lengths[r.doc_id] += r.length
+    assert set(lengths) == {3, 6, 7, None}
+    docs = spark.read.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path / "odd"))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "kept", "__text"]
+    text = {r.doc_id: (r.text, r.lang, r.kept) for r in docs.collect()}
+    assert "Smith" not in text[6][0] and "a.b@c.org" not in text[6][0] and text[6][0].endswith("about the harbour") and text[3][1:] == ("en", "clash")
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).collect() == []
+
+
 def test_pipeline_keeps_what_its_stages_keep(spark):
     """Documents with letters, one of each group of near copies; every id of what they hold after replacement is packed."""
     table = pq.read_table(f"{SF}/documents.parquet").to_pylist()

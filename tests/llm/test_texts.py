@@ -63,6 +63,12 @@ def test_altered_licenses_against_plain_matching(documents):
     assert found == {i: labels(t) for i, t in enumerate(texts)}
 
 
+def test_licenses_of_odd_rows(documents):
+    docs = documents(["MIT License", "MIT License", None], ids=[None, 4, 4]).selectExpr("*", "1 as n_words", "'x' as labels", "2 as word", "3 as n")
+    rows = sorted((r.doc_id or -1, r.n_base, r.labels) for r in licenses.scan(docs).collect())
+    assert rows == [(-1, 1, "mit"), (4, 0, ""), (4, 1, "mit")]
+
+
 def test_licenses_of_no_rows(documents):
     assert licenses.scan(documents([])).collect() == []
 
@@ -91,6 +97,23 @@ def test_language_on_odd_rows(documents):
     assert language.learn(documents([])) == [] and language.identify(documents([]), samples).collect() == []
 
 
+def test_language_stage_sets_labels_and_drops_unknown_scripts(documents):
+    samples = [("a", "the cat sat on the mat"), ("b", "der hund und das haus")]
+    docs = documents(["the cat sat", "der hund", "这是一只猫在垫子上", "the cat 猫", "12 34", None, "der hund"], ["b", None, "a", "a", "a", None, "b"], ids=[0, 1, 2, 3, 4, 5, 1])
+    docs = docs.selectExpr("*", "1 as held_out", "'x' as score", "'y' as lang_pred")
+    rows = language.accepted(docs, samples).collect()
+    assert sorted((r.doc_id, r.lang, r.held_out, r.lang_pred) for r in rows) == [(0, "a", 1, "y"), (1, "b", 1, "y"), (1, "b", 1, "y"), (3, "a", 1, "y")]
+    assert sorted(r.doc_id for r in language.accepted(docs, []).collect()) == [0, 1, 1, 2, 3]
+    assert [r.lang_pred for r in language.identify(docs, samples).orderBy("doc_id").collect()][:3] == ["a", "b", "b"]
+
+
+def test_languages_are_bounded(documents):
+    docs = documents(["some words"] * 9, [f"l{i}" for i in range(9)])
+    assert len(language.learn(docs, most_languages=9)) > 1
+    with pytest.raises(ValueError, match="more than 2 languages"):
+        language.learn(docs, most_languages=2)
+
+
 def test_longest_matches_are_the_automatons():
     """Phrases of a text equal those found by trying substrings."""
     sample, text = "abracadabra abrakadabra", "cadabrab abra zkadab"

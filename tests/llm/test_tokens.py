@@ -96,3 +96,47 @@ def test_packing(documents):
 
 def test_packing_of_no_rows(documents):
     assert packing.pack(documents([]), BYTE).collect() == []
+
+
+def odd(documents):
+    """Null and repeated ids, repeated rows, a text of a million characters, columns that clash with results."""
+    long = "naïve words and 東京, " * 50_000
+    docs = documents([None, "a b", "a b", long, ""], ids=[None, 3, 3, 7, 8])
+    return docs.selectExpr("*", "1 as start", "'x' as n_tokens", "2 as ids", "3 as sequence_id", "'y' as `a b`", "4 as ids_sha256", "5 as merge"), long
+
+
+def test_token_files_of_odd_rows(spark, documents):
+    docs, long = odd(documents)
+    rows = sorted((r.doc_id or -1, r.n_tokens) for r in token_files.op4_token_files(spark, docs, WORD).collect())
+    n = len(Tokenizer.from_file(WORD).encode(long, add_special_tokens=False).ids)
+    assert rows[0] == (-1, 1) and rows[1] == rows[2] and rows[1][0] == 3 and rows[3] == (7, n + 1) and rows[4] == (8, 1)
+
+
+def test_ranges_of_a_file_that_is_not_local(tmp_path):
+    import pyarrow.fs as pafs
+
+    np.arange(1000, dtype="<u2").tofile(tmp_path / "x.ids")
+    for fs, path in ((pafs.LocalFileSystem(), str(tmp_path / "x.ids")), (pafs.SubTreeFileSystem(str(tmp_path), pafs.LocalFileSystem()), "x.ids")):
+        assert token_files.mapped(fs, path, "<u2", 10, 20).tolist() == list(range(10, 20)) and len(token_files.mapped(fs, path, "<u2", 5, 5)) == 0
+
+
+def test_packing_of_odd_rows(documents):
+    docs, long = odd(documents)
+    rows = packing.pack(docs, BYTE).collect()
+    tokenizer = Tokenizer.from_file(BYTE)
+    want = {"a b": len(tokenizer.encode("a b").ids) + 1, long: len(tokenizer.encode(long).ids) + 1, "": 1}
+    total = defaultdict(int)
+    for r in rows:
+        total[r.doc_id] += r.length
+    assert dict(total) == {None: 1, 3: 2 * want["a b"], 7: want[long], 8: 1}
+    used = defaultdict(int)
+    for r in rows:
+        used[r.sequence_id] += r.length
+    assert all(n == 1024 or n & (n - 1) == 0 for n in used.values())
+
+
+def test_bpe_of_odd_rows(documents):
+    docs, long = odd(documents)
+    rows = sorted((r.doc_id or -1, r.n_tokens, r.ids_sha256) for r in bpe.digests(docs, WORD).collect())
+    ids = Tokenizer.from_file(WORD).encode(long, add_special_tokens=False).ids
+    assert rows[0] == (-1, 0, hashlib.sha256(b"").hexdigest()) and rows[1] == rows[2] and rows[3] == (7, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
