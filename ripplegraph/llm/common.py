@@ -27,8 +27,13 @@ def kept(name, make):
 
 
 def released() -> None:
-    """For tasks that need memory and no such object, at their start and end: what is free goes back to the system."""
+    """For tasks that need memory and no such object, at their start and end: it goes, and what is free."""
     _kept.clear()
+    trimmed()
+
+
+def trimmed() -> None:
+    """At a task's end: what is free goes back to the system, as this worker may rest beside others that work."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
         ctypes.CDLL(None).malloc_trim(0)

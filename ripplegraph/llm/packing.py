@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, written
+from .common import bounded, trimmed, written
 from .pieces import encoder
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -129,7 +129,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = 1024, w
 
         encode, number = encoder(tokenizer, keep_space), TaskContext.get().partitionId()
         packer = Packer(length, windows, number << 32)
-        for batch in bounded(batches, "text"):
+        for batch in bounded(batches, "text", 3 << 20):
             ids, bounds = encode.encode(batch.column(1))
             ids = np.insert(ids, bounds[1:], end_id).astype("<u4")
             bounds = (bounds + np.arange(len(bounds))).tolist()
@@ -137,6 +137,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = 1024, w
                 packer.add(doc_id, ids[bounds[i] : bounds[i + 1]].copy() if bounds[i + 1] - bounds[i] < length else ids[bounds[i] : bounds[i + 1]])
             packer.open = {k: [[*p[:3], p[3].copy()] for p in v] for k, v in packer.open.items()}  # else they hold the batch
             yield from packer.taken()
+        ids = batch = None
+        trimmed()
         packer.left(number // 64, number % 64 * (2 * windows * length))
         yield from packer.taken()
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, shared_dir
+from .common import bounded, shared_dir, trimmed
 from .pieces import encoder
 
 NULL_ID = np.iinfo(np.int64).min
@@ -46,7 +46,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, keep_space:
         context = TaskContext.get()
         name = f"{context.partitionId():06d}-{context.taskAttemptId()}"
         out, files, rows, total = filesystem(folder), {}, 0, 0
-        for batch in bounded(batches, "text"):
+        for batch in bounded(batches, "text", 3 << 20):
             if not batch.num_rows:
                 continue
             if not files:
@@ -62,6 +62,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, keep_space:
             rows, total = rows + batch.num_rows, total + len(ids)
         for f in files.values():
             f.close()
+        ids = bounds = batch = None
+        trimmed()
         if rows:
             yield pa.RecordBatch.from_pydict({"shard": pa.array([context.partitionId()], pa.int32()), "name": [name], "n_docs": [rows], "n_ids": [total], "width": pa.array([bits().itemsize], pa.int32())})
 

@@ -6,10 +6,11 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from ripplegraph.llm import bpe, packing, token_files
+from ripplegraph.llm import bpe, packing, pieces, token_files
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
@@ -140,3 +141,19 @@ def test_bpe_of_odd_rows(documents):
     rows = sorted((r.doc_id or -1, r.n_tokens, r.ids_sha256) for r in bpe.digests(docs, WORD).collect())
     ids = Tokenizer.from_file(WORD).encode(long, add_special_tokens=False).ids
     assert rows[0] == (-1, 0, hashlib.sha256(b"").hexdigest()) and rows[1] == rows[2] and rows[3] == (7, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+
+
+def test_pieces_when_the_store_is_full_and_before_marks():
+    draw = random.Random(6)
+    parts = [*"abZéß ÀÿIs't.,", "  ", "don't,", "x.", "x..", "é,", "́", "\n", " ,", "'s,", "ſ.", "İ,"]
+    given = [t or "" for t in texts()] + ["".join(draw.choices(parts, k=draw.randint(0, 60))) for _ in range(400)]
+    for path, keep_space in ((WORD, False), (BYTE, True)):
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        for most in (50, 500, 500_000):
+            encoder = pieces.PieceEncoder(path, keep_space, most_pieces=most)
+            for at in range(0, len(given), 20):
+                ids, bounds = encoder.encode(pa.array(given[at : at + 20]))
+                for i, text in enumerate(given[at : at + 20]):
+                    assert ids[bounds[i] : bounds[i + 1]].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, (path, most, text)
