@@ -24,6 +24,7 @@ ODD_SPACE_RE2 = r"[\s\v\x{1c}-\x{1f}\x{85}\p{Z}\x{180e}] "
 BEFORE_MARK_RE2 = r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}])[,.]\z"
 #: What may follow a part that is cut there; nothing has no ids.
 MARKS = ("", ",", ".")
+NOTHING, SPACE = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
 
 
 def split_dropping_space(text: str) -> list[str]:
@@ -167,15 +168,15 @@ class PieceEncoder:
         cut = pc.not_equal(pc.binary_length(bare), pc.binary_length(found.dictionary)).to_numpy(zero_copy_only=False)
         mark = np.where(cut, np.where(pc.ends_with(found.dictionary, ",").to_numpy(zero_copy_only=False), 1, 2), 0).astype(np.int8)[index]
         bare = bare.dictionary_encode()
-        distinct, index = bare.dictionary.to_pylist(), bare.indices.to_numpy()[index]
+        distinct, index = bare.dictionary, bare.indices.to_numpy()[index]
         if not self.keep_space:
-            return self.with_marks(self.rows_of(distinct)[index], mark, counts)
+            return self.with_marks(self.rows_of(distinct.to_pylist())[index], mark, counts)
         at = np.concatenate([[0], np.cumsum(counts)[:-1]])
-        first = {distinct[i] for i in index[at].tolist()}
-        known = [" " + p for p in distinct]
-        first = list(first.difference(known))
+        known = pc.binary_join_element_wise(NOTHING, distinct, SPACE).to_pylist()
+        leading = distinct.take(pa.array(index[at])).to_pylist()
+        first = list(set(leading).difference(known))
         rows = self.rows_of(first + known)[len(first) :][index]
-        rows[at] = [self.row[distinct[i]] for i in index[at].tolist()]
+        rows[at] = [self.row[p] for p in leading]
         return self.with_marks(rows, mark, counts)
 
 
