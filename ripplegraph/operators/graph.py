@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,14 +107,90 @@ def steps(g: Graph) -> DataFrame:
     return g.of_type("DEPENDS_ON").where("src <> dst").select("src", "dst", "ord")
 
 
-def dependency_paths(g: Graph, root: str | None = None) -> DataFrame:
+@dataclass
+class Upward:
+    """Dependencies as arrays that go to the tasks: node i depends on targets[starts[i]:starts[i + 1]], by the order of relationships."""
+
+    ids: pa.Array
+    starts: np.ndarray
+    targets: np.ndarray
+    ords: pa.Array
+
+
+def upward(edges: DataFrame, most_edges: int) -> Upward | None:
+    """None if there are more than most_edges."""
+    few = edges.limit(most_edges + 1).toArrow()
+    if few.num_rows > most_edges:
+        return None
+    few = few.sort_by([("ord", "ascending"), ("src", "ascending")]).combine_chunks()
+    ends = [few.column(c).cast(pa.string()) for c in ("src", "dst")]
+    ids = pc.unique(pa.chunked_array([c for end in ends for c in end.chunks], pa.string()))
+    src, dst = (pc.index_in(end, ids).to_numpy().astype(np.int32) for end in ends)
+    order = np.argsort(src, kind="stable")
+    ords = few.column("ord").take(pa.array(order)).combine_chunks()
+    return Upward(ids, np.concatenate([[0], np.cumsum(np.bincount(src, minlength=len(ids)))]), dst[order], ords)
+
+
+def walks(up: Upward, first: np.ndarray, most_cells: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Simple paths that start at the nodes `first`: [path, node], the root last, and [path, edge].
+
+    Paths of one length come together, depth first in slices of at most most_cells nodes, so memory is bounded, however many there are.
+    """
+    stack = [(first[:, None], np.empty((len(first), 0), np.int64), 0)] if len(first) else []
+    while stack:
+        nodes, taken, at = stack.pop()
+        low, n = up.starts[nodes[:, -1]], up.starts[nodes[:, -1] + 1] - up.starts[nodes[:, -1]]
+        ends = np.cumsum(n)
+        to = min(at + max(1, most_cells // (nodes.shape[1] + 1)), int(ends[-1]))
+        if to < ends[-1]:
+            stack.append((nodes, taken, to))
+        nth = np.arange(at, to)
+        parent = np.searchsorted(ends, nth, side="right")
+        edge = low[parent] + nth - (ends - n)[parent]
+        node = up.targets[edge]
+        fresh = np.flatnonzero((nodes[parent] != node[:, None]).all(1))
+        if len(fresh):
+            nodes = np.column_stack([nodes[parent[fresh]], node[fresh]])
+            taken = np.column_stack([taken[parent[fresh]], edge[fresh]])
+            yield nodes, taken
+            stack.append((nodes, taken, 0))
+
+
+def dependency_paths(g: Graph, root: str | None = None, most_edges: int = 1_000_000, text: bool = False) -> DataFrame:
     """(root, id, depth, ords, nodes): every simple path of dependencies to root (None: to any), nodes from the root outward; cycles end.
+    text: nodes as one text, joined by commas, and no ords.
 
     There can be exponentially many in a dense graph: for those who want them all. Shortest paths come from `reached`.
+    Up to most_edges dependencies go to the tasks, each of which walks from some dependents and returns paths as it finds them:
+    none is kept or shuffled. For one root, and beyond that many, all are searched by joins, which Spark keeps on disk.
     """
     edges = steps(g)
-    first = edges if root is None else edges.where(F.col("dst") == root)
-    return g.edges.sparkSession.sql(
+    up = upward(edges, most_edges) if root is None else None
+    if up is None:
+        found = joined_paths(edges, edges if root is None else edges.where(F.col("dst") == root))
+        return found.select("root", "id", "depth", F.array_join("nodes", ",").alias("nodes")) if text else found
+    session, n = g.edges.sparkSession, len(up.ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = lambda rows, values: pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), values.take(pa.array(rows.ravel())))
+        for batch in batches:
+            for nodes, taken in walks(up, batch.column(0).to_numpy().astype(np.int32)):
+                depth = taken.shape[1]
+                columns = {"root": up.ids.take(pa.array(nodes[:, -1])), "id": up.ids.take(pa.array(nodes[:, 0])), "depth": pa.array(np.full(len(nodes), depth, np.int32))}
+                if text:
+                    columns["nodes"] = pc.binary_join_element_wise(*(up.ids.take(pa.array(nodes[:, i])) for i in range(depth - 1, -1, -1)), ",")
+                else:
+                    columns |= {"ords": lists(taken[:, ::-1], up.ords), "nodes": lists(nodes[:, -2::-1], up.ids)}
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    # few starts a task: what they return differs much
+    starts = session.range(0, n, 1, max(1, min(n, max(4 * session.sparkContext.defaultParallelism, n // 128))))
+    return starts.mapInArrow(run, "root string, id string, depth int, " + ("nodes string" if text else "ords array<long>, nodes array<string>"))
+
+
+def joined_paths(edges: DataFrame, first: DataFrame) -> DataFrame:
+    """`dependency_paths` from the dependencies `first`, by recursion."""
+    return edges.sparkSession.sql(
         """WITH RECURSIVE found(root, id, depth, ords, nodes) MAX RECURSION LEVEL 2147483647 AS (
             SELECT dst, src, 1, array(ord), array(src) FROM {first}
             UNION ALL

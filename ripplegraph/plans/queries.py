@@ -96,7 +96,7 @@ def of_graph(build: Callable, *args, cyclic: bool = False) -> Query:
 
 
 def listed_paths(g) -> DataFrame:
-    return ops.dependency_paths(g).select("root", "id", "depth", F.array_join("nodes", ",").alias("nodes"))
+    return ops.dependency_paths(g, text=True)
 
 
 def tokenized(spark: SparkSession, sf_dir: str) -> DataFrame:

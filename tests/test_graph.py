@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from ripplegraph import cli, registry
@@ -209,3 +210,23 @@ def test_ids_that_are_not_text(spark):
     with pytest.raises(ModelError) as raised:
         from_document(spark, {"applications": [{"id": None, "name": "x"}, {"id": "a", "name": ["x"]}], "relationships": [{"from": {}, "type": "OWNS", "to": 3}]})
     assert len(raised.value.errors) == 3
+
+
+def test_all_paths_are_walked_in_the_tasks(spark):
+    import itertools
+    import random
+
+    pick = random.Random(5)
+    pairs = pick.sample([(a, b) for a, b in itertools.product("ABCDEFG", repeat=2) if a != b], 20)
+    made = from_document(spark, {"applications": [{"id": x, "name": x} for x in "ABCDEFG"], "relationships": [{"from": a, "type": "DEPENDS_ON", "to": b} for a, b in pairs]})
+    want = sorted((root, path[-1], len(path), ",".join(path)) for root in "ABCDEFG" for path in simple_paths(pairs, root))
+    walked, joined = ops.dependency_paths(made), ops.dependency_paths(made, most_edges=0)
+    for plan in (walked, ops.dependency_paths(made, text=True)):
+        assert "UnionLoop" not in (text := plan._jdf.queryExecution().executedPlan().toString()) and "Exchange" not in text
+    assert sorted(tuple(r) for r in ops.dependency_paths(made, text=True).collect()) == sorted(tuple(r) for r in ops.dependency_paths(made, most_edges=0, text=True).collect()) == want
+    assert sorted(walked.collect()) == sorted(joined.collect())
+    up = ops.upward(ops.steps(made), 1000)
+    few = [row.tolist() for nodes, _ in ops.walks(up, np.arange(len(up.ids)), most_cells=4) for row in nodes]
+    assert len(few) == len(want) and sorted(",".join(up.ids[i].as_py() for i in row[-2::-1]) for row in few) == sorted(w[3] for w in want)
+    alone = from_document(spark, {"applications": [{"id": "A", "name": "A"}]})
+    assert ops.dependency_paths(alone, text=True).count() == 0
