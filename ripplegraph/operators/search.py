@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from typing import Protocol
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import chunks, described, tokens
@@ -43,6 +43,17 @@ def term_stats(texts: DataFrame) -> DataFrame:
     return each.groupBy("term").agg(F.count("*").alias("n_chunks"), F.sum("count").alias("n_total"))
 
 
+def exact_sum(x: Column) -> Column:
+    """Sum of doubles from 0 to 2 ** 33, rounded once, so equal in any order of the rows: copies of a text tie.
+
+    Sums of doubles differ in their last digits by that order, and rounding them tells some apart that are equal. So each is
+    summed as two whole numbers, of 2 ** -30 and of 2 ** -62.
+    """
+    high = F.floor(x * 2.0**30)
+    low = F.floor((x * 2.0**30 - high) * 2.0**32)
+    return (F.sum(high).cast("double") + F.sum(low) / F.lit(2.0**32)) / F.lit(2.0**30)
+
+
 @dataclass
 class Index:
     """postings: term, chunk_id, tf, length; stats: one row with the number of chunks, n, and their average length."""
@@ -64,8 +75,8 @@ class Index:
         idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         gain = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (F.lit(1 - B) + F.lit(B) * F.col("length") / F.col("average")))
         scores = postings.join(seen, "term").join(asked, "term").join(F.broadcast(self.stats))  # one row
-        scores = scores.groupBy("query_id", "chunk_id").agg(F.sum(gain).alias("score")).where("score > 0")
-        # sums in another order differ in their last digits, which must not decide
+        scores = scores.groupBy("query_id", "chunk_id").agg(exact_sum(gain).alias("score")).where("score > 0")
+        # rounded, as logarithms differ in their last digits between machines, which must not decide
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "chunk_id"))
         return scores.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 

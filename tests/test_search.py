@@ -68,3 +68,16 @@ def test_search(spark):
     assert [(r.query_id, r.rank, r.chunk_id) for r in rows] == [("q", 1, "a"), ("q", 2, "d")]
     assert search.search(docs, asked, 0).count() == 0
     assert search.search(docs.where(F.lit(False)), asked, 3).count() == 0
+
+
+def test_equal_sums_tie_whatever_the_order_of_their_rows(spark):
+    import math
+    import random
+
+    draw = random.Random(3)
+    bags = [[draw.uniform(0, 9) for _ in range(90)] for _ in range(60)]
+    rows = [(bag, copy, x) for bag, gains in enumerate(bags) for copy in range(10) for x in draw.sample(gains, len(gains))]
+    each = spark.createDataFrame(rows, "bag int, copy int, x double").coalesce(1).groupBy("bag", "copy").agg(F.sum("x").alias("plain"), search.exact_sum(F.col("x")).alias("exact"))
+    found = each.groupBy("bag").agg(F.collect_set("exact").alias("exact"), F.countDistinct(F.round("plain", 12)).alias("plain")).orderBy("bag").collect()
+    assert max(r.plain for r in found) > 1  # what told copies apart before
+    assert [r.exact for r in found] == [[math.fsum(gains)] for gains in bags]
