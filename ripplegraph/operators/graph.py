@@ -115,6 +115,7 @@ class Upward:
     starts: np.ndarray
     targets: np.ndarray
     ords: pa.Array
+    ranks: np.ndarray  # by the order of relationships, over all nodes
 
 
 def upward(edges: DataFrame, most_edges: int) -> Upward | None:
@@ -128,7 +129,7 @@ def upward(edges: DataFrame, most_edges: int) -> Upward | None:
     src, dst = (pc.index_in(end, ids).to_numpy().astype(np.int32) for end in ends)
     order = np.argsort(src, kind="stable")
     ords = few.column("ord").take(pa.array(order)).combine_chunks()
-    return Upward(ids, np.concatenate([[0], np.cumsum(np.bincount(src, minlength=len(ids)))]), dst[order], ords)
+    return Upward(ids, np.concatenate([[0], np.cumsum(np.bincount(src, minlength=len(ids)))]), dst[order], ords, order)
 
 
 def walks(up: Upward, first: np.ndarray, most_cells: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -332,19 +333,124 @@ def affected(g: Graph, paths: DataFrame, root: str | None = None) -> DataFrame:
     return (own if root is None else own.where(F.col("id") == root)).union(found)
 
 
-def degraded(g: Graph, root: str | None = None, paths: DataFrame | None = None) -> DataFrame:
-    """Capabilities that an affected application (via) supports and that are not lost; the first by its id."""
-    supports = g.of_type("SUPPORTS").select(F.col("src").alias("via"), F.col("dst").alias("capability"), edge().alias("last"))
-    touched = affected(g, reached(g, root) if paths is None else paths, root).withColumnRenamed("id", "via").join(supports, "via")
-    lost = only_source(g, "SUPPORTS").select("root", F.col("id").alias("capability"))
-    first = touched.groupBy("root", "capability").agg(F.min(F.struct("via", "depth", "path", "last")).alias("f")).select("root", "capability", "f.*")
-    kept = first.join(lost, ["root", "capability"], "left_anti")
+def climbed(starts: list[int], targets: list[int], ranks: list[int], via: int) -> dict[int, int | None]:
+    """All that a node depends on, breadth first, each with the node before it on the path that `reached` takes from there."""
+    before: dict[int, int | None] = {via: None}
+    level = [via]
+    while level:
+        best: dict[int, tuple[int, int]] = {}
+        for node in level:
+            for edge in range(starts[node], starts[node + 1]) if node + 1 < len(starts) else ():
+                root = targets[edge]
+                if root not in before and (root not in best or ranks[edge] < best[root][0]):
+                    best[root] = ranks[edge], node
+        before |= {root: node for root, (_, node) in best.items()}
+        level = list(best)
+    return before
+
+
+def touched_first(up: Upward, supporters: DataFrame, most_rows: int = 200_000) -> DataFrame:
+    """(root, capability, via, depth, chain) of capabilities that an affected application supports, the first of these by its id, and that
+    are not lost; chain from via to root. supporters: capability, vias (id, application) by id, n, the number of relationships.
+
+    Each capability's supporters climb to all that they depend on, so its roots are found in one place and no pair is shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts, targets, ranks, names = up.starts.tolist(), up.targets.tolist(), up.ranks.tolist(), up.ids.to_pylist()
+        code = {name: i for i, name in enumerate(names)}
+        known: dict[int, tuple[np.ndarray, np.ndarray, pa.ListArray]] = {}
+        held = n = 0
+        pieces: list[tuple[str, int, np.ndarray, np.ndarray, pa.ListArray]] = []
+
+        def climb(via: int) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
+            nonlocal held
+            if via not in known:
+                chains: dict[int, list[int]] = {}
+                for root, node in climbed(starts, targets, ranks, via).items():
+                    chains[root] = [*(chains[node] if node is not None else ()), root]
+                if held > most_rows:
+                    known.clear()
+                    held = 0
+                held += len(chains)
+                known[via] = np.fromiter(chains, np.int32), np.array([len(c) - 1 for c in chains.values()], np.int32), pa.array(chains.values(), pa.list_(pa.int32()))
+            return known[via]
+
+        def flushed() -> pa.RecordBatch:
+            ids, size = pa.array(names, pa.string()), [len(p[2]) for p in pieces]
+            chain = pa.concat_arrays([p[4] for p in pieces])
+            columns = {
+                "root": ids.take(pa.array(np.concatenate([p[2] for p in pieces]))),
+                "capability": pa.array([p[0] for p in pieces], pa.string()).take(pa.array(np.repeat(np.arange(len(pieces)), size))),
+                "via": ids.take(pa.array(np.repeat([p[1] for p in pieces], size))),
+                "depth": pa.array(np.concatenate([p[3] for p in pieces])),
+                "chain": pa.ListArray.from_arrays(chain.offsets, ids.take(chain.values)),
+            }
+            return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+        for batch in batches:
+            for capability, vias, edges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                seen: set[int] = set()
+                for each in vias:
+                    if each["id"] not in code:
+                        code[each["id"]] = len(names)
+                        names.append(each["id"])
+                    via = code[each["id"]]
+                    roots, depth, chain = climb(via)
+                    if not each["application"] or edges == 1:  # itself stands first: no application, or it loses the capability
+                        roots, depth, chain = roots[1:], depth[1:], chain[1:]
+                    if seen:
+                        some = np.flatnonzero([r not in seen for r in roots.tolist()])
+                        roots, depth, chain = roots[some], depth[some], chain.take(pa.array(some))
+                    if len(vias) > 1:
+                        seen.update(roots.tolist())
+                    if len(roots):
+                        pieces.append((capability, via, roots, depth, chain))
+                        n += len(roots)
+                    if n >= 20_000:
+                        yield flushed()
+                        pieces, n = [], 0
+        if pieces:
+            yield flushed()
+
+    return supporters.select("capability", "vias", "n").mapInArrow(run, "root string, capability string, via string, depth int, chain array<string>")
+
+
+def degraded(g: Graph, root: str | None = None, paths: DataFrame | None = None, most_edges: int = 1_000_000) -> DataFrame:
+    """Capabilities that an affected application (via) supports and that are not lost; the first by its id.
+
+    For all roots at once, up to most_edges dependencies go to the tasks; else affected applications are joined with what they support.
+    """
+    supports = g.of_type("SUPPORTS")
+    up = upward(steps(g), most_edges) if root is None and paths is None else None
+    if up is None:
+        kept = joined_degraded(g, root, reached(g, root) if paths is None else paths)
+    else:
+        context = g.edges.sparkSession.sparkContext
+        applications = g.of_kind("application").select(F.col("id").alias("src"), F.lit(True).alias("application")).distinct()
+        via = F.struct(F.col("src").alias("id"), F.coalesce("application", F.lit(False)).alias("application"))
+        each = supports.join(applications, "src", "left").groupBy(F.col("dst").alias("capability")).agg(F.sort_array(F.collect_set(via)).alias("vias"), F.count("*").alias("n"))
+        # those of one application lie together, in four parts, so that what it depends on is seldom found twice
+        first, part = F.expr("vias[0].id"), F.expr("pmod(xxhash64(capability), 4)")
+        each = each.repartition(max(4 * context.defaultParallelism, len(up.ids) // 256), first, part).sortWithinPartitions(first)
+        path = F.expr("if(depth = 0, array(), transform(sequence(1, depth), i -> named_struct('from', chain[i - 1], 'type', 'DEPENDS_ON', 'to', chain[i])))")
+        last = F.struct(F.col("via").alias("from"), F.lit("SUPPORTS").alias("type"), F.col("capability").alias("to"))
+        kept = touched_first(up, each).select("root", "capability", "via", "depth", path.alias("path"), last.alias("last"))
     sentence = F.when(F.col("depth") == 0, F.concat_ws(" ", "capability", F.lit("keeps other support than that of"), "root")).otherwise(
         F.concat_ws(" ", "capability", F.lit("is supported by"), "via", F.lit("which depends on"), "root", hops("depth"))
     )
     return kept.select("root", F.col("capability").alias("id"), "depth", F.concat("path", F.array("last")).alias("path"), sentence.alias("explanation"), "via")
 
 
+def joined_degraded(g: Graph, root: str | None, paths: DataFrame) -> DataFrame:
+    """(root, capability, via, depth, path, last) of `degraded`, from rows of `reached`."""
+    supports = g.of_type("SUPPORTS").select(F.col("src").alias("via"), F.col("dst").alias("capability"), edge().alias("last"))
+    touched = affected(g, paths, root).withColumnRenamed("id", "via").join(supports, "via")
+    lost = only_source(g, "SUPPORTS").select("root", F.col("id").alias("capability"))
+    first = touched.groupBy("root", "capability").agg(F.min(F.struct("via", "depth", "path", "last")).alias("f")).select("root", "capability", "f.*")
+    return first.join(lost, ["root", "capability"], "left_anti")
+
+
 def unaffected(g: Graph, root: str, paths: DataFrame | None = None) -> DataFrame:
     """For one application: capabilities that no affected application supports, with their supporters."""
     touched = affected(g, reached(g, root) if paths is None else paths, root).select(F.col("id").alias("src"))

@@ -3,7 +3,7 @@ import pytest
 
 from ripplegraph import cli, registry
 from ripplegraph.operators import graph as ops
-from ripplegraph.sources.model import ModelError, UnknownElement, from_document
+from ripplegraph.sources.model import Graph, ModelError, UnknownElement, from_document
 
 # The golden graph of FIXTURES.md, section 1.1; id: supports, owns, consumes, depends on, runs on
 APPS = {
@@ -230,3 +230,21 @@ def test_all_paths_are_walked_in_the_tasks(spark):
     assert len(few) == len(want) and sorted(",".join(up.ids[i].as_py() for i in row[-2::-1]) for row in few) == sorted(w[3] for w in want)
     alone = from_document(spark, {"applications": [{"id": "A", "name": "A"}]})
     assert ops.dependency_paths(alone, text=True).count() == 0
+
+
+def test_degraded_of_all_roots_shuffles_no_pairs(spark):
+    import random
+
+    draw = random.Random(6)
+    apps, capabilities = [f"A{i}" for i in range(12)], [f"C{i}" for i in range(20)]
+    pairs = draw.sample([(a, b) for a in apps for b in apps if a != b], 30)
+    support = [(draw.choice([*apps, "A99"]), c) for c in capabilities for _ in range(draw.randint(0, 3))]  # some repeated, one of no application
+    edges = [(a, "DEPENDS_ON", b, i) for i, (a, b) in enumerate(pairs)] + [(a, "SUPPORTS", c, 100 + i) for i, (a, c) in enumerate(support)]
+    elements = from_document(spark, {"applications": [{"id": x, "name": x} for x in apps], "capabilities": [{"id": x, "name": x} for x in capabilities]}).elements
+    made = Graph(elements, spark.createDataFrame(edges, "src string, type string, dst string, ord long"))
+    found, joined = ops.degraded(made), ops.degraded(made, most_edges=0)
+    rows = lambda df: sorted(tuple(r) for r in ops.shown(df).collect())
+    assert rows(found) == rows(joined) and found.count() > 100 and {r.via for r in found.collect()} - set(apps) == set()
+    assert rows(found.where("root = 'A3'")) == rows(ops.degraded(made, "A3"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("MapInArrow")] and "SortMergeJoin [root" not in plan
