@@ -75,12 +75,33 @@ class Scratch:
         self.tables[id(table)] = table, path
         return table
 
+    def gather(self, parts: Iterable[DataFrame]) -> DataFrame:
+        """All rows of parts of one schema, one at least, which are computed one after another."""
+        path = shared_dir(self.spark)
+        for df in parts:
+            df.write.mode("append").parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.tables[id(table)] = table, path
+        return table
+
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
             _, path = self.tables.pop(id(table))
             delete(self.spark, path)
 
 
+@contextlib.contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """What queries shuffle is deleted as soon as they end, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def written(df: DataFrame) -> DataFrame:
     return Scratch(df.sparkSession).write(df)
 

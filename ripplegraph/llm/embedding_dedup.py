@@ -13,6 +13,8 @@
 4. Rows in a cell are compared with each other and with its visitors, in double precision. Of two cells the lower-numbered
    one's rows visit, so a pair is compared once. Cells of any size are dealt into blocks of bounded size, and a block
    returns each row's number of links and a spanning forest, no pairs.
+5. Ranges of cells are dealt and compared one after another, each with about as many rows as there are distinct vectors, and
+   what it shuffled is deleted. So disk grows with the table and not with its visits. A range has one cell at least.
 
 Null ids and vectors that are null, zero, of another length than the commonest (the cosine of two lengths is undefined), or
 hold null or non-finite components link with nothing; a null id's component is null. Repeated rows are copies of each other;
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, Scratch, components, group_numbers, released, whole_groups
+from .common import Forest, Scratch, components, group_numbers, released, shuffles_deleted, whole_groups
 from .vectors import dimension, keyed, matrix, unit
 
 def codebook(half: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
@@ -65,39 +67,97 @@ def visited(left: np.ndarray, right: np.ndarray, reach: float) -> np.ndarray:
     return np.repeat(first, n) * len(right) + second[at]
 
 
-def placed(reps: DataFrame, books: tuple[np.ndarray, np.ndarray], dim: int, reach: float) -> DataFrame:
-    """reps with their cell and the higher-numbered cells that they visit."""
+Books = tuple[np.ndarray, np.ndarray]
+
+
+def placed(reps: DataFrame, books: Books, dim: int) -> DataFrame:
+    """reps with their cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                x, k = unit(matrix(batch.column("vector"), dim)), len(books[1])
-                (a, left), (b, right) = borders(x[:, : dim // 2], books[0]), borders(x[:, dim // 2 :], books[1])
-                cell = a * k + b
-                visits = [visited(p, q, reach) for p, q in zip(left, right, strict=True)]
-                visits = [v[v > c].astype(np.int32) for v, c in zip(visits, cell.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(visits, pa.list_(pa.int32()))], [*batch.schema.names, "cell", "visits"])
+                x = unit(matrix(batch.column("vector"), dim))
+                a, b = (distances(half, words).argmin(1) for half, words in zip((x[:, : dim // 2], x[:, dim // 2 :]), books, strict=True))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(a * len(books[1]) + b, pa.int32())], [*batch.schema.names, "cell"])
 
     kind = dict(reps.dtypes)["vector"]
-    return reps.select("k1", "k2", "node", "copies", "vector").mapInArrow(run, f"k1 long, k2 long, node long, copies long, vector {kind}, cell int, visits array<int>")
-
-
-def blocks(rows: DataFrame, chunk_rows: int) -> DataFrame:
-    """A cell's rows and visitors, dealt into blocks (cell, a, b) of at most about two chunks; visitors' chunks follow the rows'."""
-    row = ["k1", "k2", "node", "copies", "vector"]
-    own = rows.select("cell", *row, F.lit(True).alias("own"))
-    visitors = rows.select(F.explode("visits").alias("cell"), *row, F.lit(False).alias("own"))
-    size = rows.groupBy("cell").agg(F.count("*").alias("n"))
-    guests = rows.select(F.explode("visits").alias("cell")).groupBy("cell").agg(F.count("*").alias("m"))
-    # cells without rows of their own are left out; the table is small where it is broadcast, which Spark decides by its size
-    chunks = size.join(guests, "cell", "left").selectExpr("cell", "n", "coalesce(m, 0) as m").selectExpr(
-        "cell", f"int(ceil(n / {chunk_rows})) as mine", f"int(ceil(m / {chunk_rows})) as theirs", f"n + m <= {chunk_rows} as small"
-    )
-    every = own.union(visitors).join(chunks, "cell")
-    every = every.withColumn("chunk", F.expr("if(small, 0, if(own, pmod(xxhash64(k1, 5), mine), mine + pmod(xxhash64(k1, 5), theirs)))").cast("int"))
-    every = every.withColumn("other", F.explode(F.expr("if(small, array(0), if(own, sequence(0, mine + theirs - 1), sequence(0, mine - 1)))")))
-    return every.select("cell", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "chunk", "own", *row)
+    return reps.select("k1", "k2", "node", "copies", "vector").mapInArrow(run, f"k1 long, k2 long, node long, copies long, vector {kind}, cell int")
+
+
+def visits(batch: pa.RecordBatch, books: Books, dim: int, reach: float, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the cells from lo to hi, those that rows visit, higher-numbered than their own: row and cell of each visit."""
+    k, cell = len(books[1]), batch.column("cell").to_numpy()
+    some = np.flatnonzero(cell < hi - 1)
+    if not len(some):
+        return some, some
+    x = unit(matrix(batch.column("vector").take(pa.array(some)), dim))
+    first, last = lo // k, (hi - 1) // k + 1
+    left, right = borders(x[:, : dim // 2], books[0])[1][:, first:last], borders(x[:, dim // 2 :], books[1])[1]
+    found = [first * k + visited(p, q, reach) for p, q in zip(left, right, strict=True)]
+    row, found = np.repeat(some, [len(v) for v in found]), np.concatenate(found)
+    fine = (found > cell[row]) & (found >= lo) & (found < hi)
+    return row[fine], found[fine]
+
+
+def loads(cells: DataFrame, books: Books, dim: int, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each cell's number of rows and of visitors."""
+    size = len(books[0]) * len(books[1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((2, size), np.int64)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                n[0] += np.bincount(batch.column("cell").to_numpy(), minlength=size)
+                n[1] += np.bincount(visits(batch, books, dim, reach, 0, size)[1], minlength=size)
+        some = np.flatnonzero(n.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[0][some]), pa.array(n[1][some])], ["cell", "n", "m"])
+
+    found = cells.select("cell", "vector").mapInArrow(run, "cell int, n long, m long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).toArrow()
+    n = np.zeros((2, size), np.int64)
+    n[:, found.column("cell").to_numpy()] = found.column("n").to_numpy(), found.column("m").to_numpy()
+    return n[0], n[1]
+
+
+def waves(n: np.ndarray, m: np.ndarray, chunk_rows: int, most_rows: int) -> list[tuple[int, int]]:
+    """Ranges of cells whose blocks hold about most_rows rows each, one cell at least; cells without rows of their own count nothing."""
+    mine, theirs = -(-n // chunk_rows), -(-m // chunk_rows)
+    dealt = np.where(n + m <= chunk_rows, n + m, n * (mine + theirs) + m * mine) * (n > 0)
+    number = np.cumsum(dealt) // most_rows
+    bounds = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(n)]
+    return list(zip(bounds[:-1], bounds[1:], strict=True))
+
+
+def blocks(cells: DataFrame, books: Books, dim: int, reach: float, n: np.ndarray, m: np.ndarray, chunk_rows: int, lo: int, hi: int) -> DataFrame:
+    """Rows and visitors of the cells from lo to hi, dealt into blocks (cell, a, b) of at most about two chunks; visitors' chunks follow the rows'."""
+    n, m = n[lo:hi], m[lo:hi]
+    small, mine, theirs = n + m <= chunk_rows, -(-n // chunk_rows), -(-m // chunk_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                cell = batch.column("cell").to_numpy()
+                inside = np.flatnonzero((cell >= lo) & (cell < hi))
+                guest, place = visits(batch, books, dim, reach, lo, hi)
+                row, place = np.concatenate([inside, guest]), np.concatenate([cell[inside], place]) - lo
+                own = np.arange(len(row)) < len(inside)
+                row, place, own = row[n[place] > 0], place[n[place] > 0], own[n[place] > 0]
+                key = (batch.column("k2").to_numpy()[row].view(np.uint64) >> np.uint64(8)).astype(np.int64)
+                chunk = np.where(small[place], 0, np.where(own, key % np.maximum(mine[place], 1), mine[place] + key % np.maximum(theirs[place], 1)))
+                times = np.where(small[place], 1, np.where(own, mine[place] + theirs[place], mine[place]))
+                ends = np.cumsum(times)
+                for begin in range(0, int(times.sum()), 8192):
+                    nth = np.arange(begin, min(begin + 8192, int(ends[-1])))
+                    i = np.searchsorted(ends, nth, side="right")
+                    other = nth - (ends - times)[i]
+                    kept = batch.select(["k1", "k2", "node", "copies", "vector"]).take(pa.array(row[i]))
+                    dealt = {"cell": place[i] + lo, "a": np.minimum(chunk[i], other), "b": np.maximum(chunk[i], other), "chunk": chunk[i]}
+                    yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int32()) for v in dealt.values()), pa.array(own[i]), *kept.columns], [*dealt, "own", *kept.schema.names])
+
+    kind = dict(cells.dtypes)["vector"]
+    return cells.mapInArrow(run, f"cell int, a int, b int, chunk int, own boolean, k1 long, k2 long, node long, copies long, vector {kind}")
 
 
 def block_links(table: pa.Table, dim: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -140,14 +200,21 @@ def compared(dealt: DataFrame, dim: int, threshold: float) -> DataFrame:
     return whole.mapInArrow(run, "k1 long, k2 long, node long, links long, root long")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float = 1.0, rows_per_cell: int = 1024, sample_rows: int = 8192, chunk_rows: int = 1024, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float = 1.0, rows_per_cell: int = 1024, sample_rows: int = 8192, chunk_rows: int = 1024, id_column: str = "vec_id", vector_column: str = "embedding", wave_rows: int = 1_000_000) -> DataFrame:
     """id, n_links (other rows with cosine >= threshold, copies included), component_id (smallest id that links reach), kept.
 
     sample_rows bounds the rows that the codebooks are fitted on (twice as many at most), and an eighth of it the codewords.
+    wave_rows, or the number of distinct vectors if larger, bounds the rows that are dealt into blocks at once.
     """
+    with shuffles_deleted(vectors.sparkSession):
+        return deduplicated(vectors, threshold, recall, rows_per_cell, sample_rows, chunk_rows, id_column, vector_column, wave_rows)
+
+
+def deduplicated(vectors: DataFrame, threshold: float, recall: float, rows_per_cell: int, sample_rows: int, chunk_rows: int, id_column: str, vector_column: str, wave_rows: int) -> DataFrame:
     dim, key, scratch = dimension(vectors, vector_column), ["k1", "k2"], Scratch(vectors.sparkSession)
-    rows = scratch.write(keyed(vectors, id_column, vector_column, dim))
-    reps = rows.where("k1 is not null").groupBy(*key).agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
+    each = keyed(vectors, id_column, vector_column, dim)
+    rows = scratch.write(each.select("id", *key))
+    reps = each.where("k1 is not null").groupBy(*key).agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
     reps = scratch.write(reps)
     n = reps.count()
     if n:
@@ -159,9 +226,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
         k = min(max(ceil(sqrt(n / rows_per_cell)), 4), max(4, sample_rows // 8), len(x))
         books = codebook(x[:, : dim // 2], k), codebook(x[:, dim // 2 :], k)
         r2 = 2 - 2 * threshold
-        reach = r2 if recall >= 1 else min(r2, r2 / dim * 2 * log(1 / (1 - recall)))
-        cells = scratch.write(placed(reps, books, dim, reach + 1e-9))
-        found = scratch.write(compared(blocks(cells, chunk_rows), dim, threshold), cells)
+        reach = (r2 if recall >= 1 else min(r2, r2 / dim * 2 * log(1 / (1 - recall)))) + 1e-9
+        reps = scratch.write(placed(reps, books, dim), reps)
+        load = loads(reps, books, dim, reach)
+        parts = (compared(blocks(reps, books, dim, reach, *load, chunk_rows, lo, hi), dim, threshold) for lo, hi in waves(*load, chunk_rows, max(wave_rows, n)))
+        found = scratch.gather(parts)
     else:
         found = scratch.write(reps.selectExpr("k1", "k2", "node", "copies as links", "node as root"))
     groups = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))

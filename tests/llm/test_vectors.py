@@ -120,3 +120,18 @@ def test_rows_of_one_id(stored):
     data = stored({"vec_id": [5, 5, 7, 9], "embedding": [[1.0, 0.0], [0.0, 1.0], [1.0, 0.01], [0.01, 1.0]]}, [("vec_id", pa.int64()), ("embedding", pa.list_(pa.float64()))])
     found = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(data).collect())
     assert found == [(5, 1, 5), (5, 1, 5), (7, 1, 5), (9, 1, 5)]
+
+
+def test_waves_bound_what_is_dealt_at_once(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 8))
+    data = spark.createDataFrame([(i, [float(c) for c in v], "", 0) for i, v in enumerate(np.concatenate([x, x[:200] + rng.normal(size=(200, 8)) * 0.05]))], SCHEMA)
+    compared, dealt = embedding_dedup.compared, []
+    monkeypatch.setattr(embedding_dedup, "compared", lambda df, *args: (dealt.append(df.count()), compared(df, *args))[1])
+    runs = [sorted(tuple(r) for r in embedding_dedup.near_duplicates(data, rows_per_cell=8, chunk_rows=16, wave_rows=w).collect()) for w in (1, 10**9)]
+    assert runs[0] == runs[1] and dealt.pop() == sum(dealt) > 4 * 800
+    n, m = np.array([3, 0, 20, 900]), np.array([5, 7, 0, 100])
+    assert embedding_dedup.waves(n, m, 16, 800) == [(0, 3), (3, 4)] and len(dealt) > 2
+    unit = np.array([r.embedding for r in data.orderBy("vec_id").collect()])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    assert [r[1] for r in runs[0]] == ((unit @ unit.T >= 0.95).sum(1) - 1).tolist()
