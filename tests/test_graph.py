@@ -248,3 +248,12 @@ def test_degraded_of_all_roots_shuffles_no_pairs(spark):
     assert rows(found.where("root = 'A3'")) == rows(ops.degraded(made, "A3"))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan[: plan.index("MapInArrow")] and "SortMergeJoin [root" not in plan
+
+
+def test_cyclic_paths_are_kept_nowhere(spark):
+    edges = [("B", "A"), ("A", "B"), ("C", "B"), ("A", "C"), ("D", "D"), ("D", "C")]
+    made = Graph(None, spark.createDataFrame([(a, "DEPENDS_ON", b, i) for i, (a, b) in enumerate(edges)], "src string, type string, dst string, ord long"))
+    found = ops.dependency_paths(made, text=True)
+    assert "UnionLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    want = [(root, path[-1], len(path), ",".join(path)) for root in "ABCD" for path in simple_paths([e for e in edges if e[0] != e[1]], root)]
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
