@@ -3,6 +3,7 @@ import pytest
 
 from ripplegraph import cli, registry
 from ripplegraph.operators import graph as ops
+from ripplegraph.plans import queries as plans
 from ripplegraph.sources.model import Graph, ModelError, UnknownElement, from_document
 
 # The golden graph of FIXTURES.md, section 1.1; id: supports, owns, consumes, depends on, runs on
@@ -257,3 +258,14 @@ def test_cyclic_paths_are_kept_nowhere(spark):
     assert "UnionLoop" not in found._jdf.queryExecution().executedPlan().toString()
     want = [(root, path[-1], len(path), ",".join(path)) for root in "ABCD" for path in simple_paths([e for e in edges if e[0] != e[1]], root)]
     assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+
+
+def test_the_cyclic_query_shuffles_nothing(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    found = plans.queries()["dependency_paths_cyclic"](spark, sf_dir)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "UnionLoop" not in plan and "Exchange" not in plan
+    keys = [r.s_suppkey for r in spark.read.parquet(f"{sf_dir}/supplier.parquet").collect() if r.s_suppkey >= 1]
+    edges = [("A0", "A1")] + [(f"A{k}", f"A{j}") for k in keys for j in {k // 2, k // 3}]
+    want = [(root, path[-1], len(path), ",".join(path)) for root in {b for _, b in edges} for path in simple_paths(edges, root)]
+    assert any("A0" in row[3].split(",") for row in want) and sorted(tuple(r) for r in found.collect()) == sorted(want)
